@@ -19,3 +19,40 @@ e AS (
 SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, m.component_id, s.doc_id = m.component_id AS kept
 FROM s JOIN m ON m.x = s.doc_id
 """
+
+
+def _secret_spans() -> str:
+    from lociweave.llm import secret_scan as s
+
+    def spans(pattern: str, kind: int, test: str) -> str:
+        """kind, start and stop of the matches of a pattern that pass ``test`` on (m, g2)."""
+        p = pattern.replace("'", "''")
+        return f"""
+  SELECT doc_id, {kind} AS kind, m, g2, a AS start, a + length(m) AS stop FROM (
+    SELECT doc_id, m, g2, CAST(sum(length(piece) + length(coalesce(before, ''))) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS a FROM (
+      SELECT doc_id, i, m, g2, piece, lag(m) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM (
+        SELECT doc_id, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS m, unnest(gs) AS g2, unnest(ps[1:len(ms)]) AS piece FROM (
+          SELECT doc_id, regexp_extract_all(t, '{p}') AS ms, regexp_extract_all(t, '{p}', {2 if kind == 0 else 0}) AS gs, string_split_regex(t, '{p}') AS ps FROM d))))
+  WHERE {test}"""
+
+    terms = "[" + ", ".join(map(str, s.TERMS)) + "]"
+    allowed = " OR ".join(f"regexp_matches(m, '{p}')" for p in s.ALLOW)
+    hexed = f"regexp_matches(m, '{s.HEX_RUN}')"
+    most = f"CASE WHEN {hexed} THEN {s.most_weight(s.LIMIT_BITS['entropy_hex'])} ELSE {s.most_weight(s.LIMIT_BITS['entropy_mixed'])} END"
+    window = f"list_sum(list_transform(list_distinct(string_split(m[j:j + {s.WINDOW - 1}], '')), lambda c: {terms}[1 + length(m[j:j + {s.WINDOW - 1}]) - length(replace(m[j:j + {s.WINDOW - 1}], c, ''))]))"
+    lowest = f"list_min(list_transform(range(1, length(m) - {s.WINDOW - 2}), lambda j: {window}))"
+    kinds = "['" + "', '".join(s.KINDS) + "']"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+base AS ({spans(s.ASSIGN, 0, "length(g2) >= 8")} UNION ALL {spans(s.ACCESS, 1, "true")} UNION ALL {spans(s.HEX, 2, "true")}),
+more AS (SELECT doc_id, CASE WHEN {hexed} THEN 3 ELSE 4 END AS kind, m, g2, start, stop FROM ({spans(s.RUN, 3, "true")}) WHERE NOT ({allowed}) AND {lowest} <= {most}),
+b AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  string_agg({kinds}[kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop) AS base FROM base GROUP BY doc_id),
+a AS (SELECT doc_id, string_agg({kinds}[kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop) AS spans
+  FROM (SELECT * FROM base UNION ALL SELECT * FROM more) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)
+"""
+
+
+SECRET_SCAN = _secret_spans()
