@@ -5,9 +5,61 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lociweave.llm import oracles
-from lociweave.llm.common import load
+from lociweave.llm.common import held_out, load
+from lociweave.llm.labelled import fit_in_one_task, labelled_sample, score_texts
+
+
+def op2_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates that bring the expected token shares of labelled quality to 95 parts of 1 and five of 0."""
+    from lociweave.llm.mixing import mix_to_targets
+
+    labelled = load(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("quality_"), F.col("quality").cast("string")).alias("domain"))
+    mixed = mix_to_targets(load(spark, sf_dir, "documents"), labelled, {"quality_1": 0.95, "quality_0": 0.05})
+    return mixed.select("doc_id", "tokens", F.col("p0").alias("p_quality_1"), F.col("p1").alias("p_quality_0"), "rate", "copies")
+
+
+def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lociweave.llm.hilbert import hilbert_shards
+
+    placed = hilbert_shards(load(spark, sf_dir, "documents"), shards=16, keep_columns=False)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lociweave.llm import nbsvm
+
+    docs = load(spark, sf_dir, "documents")
+    sample, share = labelled_sample(docs, load(spark, sf_dir, "labels"), "quality", ~held_out("doc_id", 5, 0), nbsvm.TRAIN_ROWS)
+    scored = score_texts(docs, fit_in_one_task(sample, nbsvm.fit, share), nbsvm.load)
+    return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lociweave.llm.secret_scan import count_kind, find_secrets, joined
+
+    found = find_secrets(load(spark, sf_dir, "documents"))
+    counts = [count_kind("base", i).alias(f"n_{k}") for i, k in enumerate(("assign", "access", "hex"))]
+    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lociweave.llm import subword
+
+    docs = load(spark, sf_dir, "documents")
+    sample, share = labelled_sample(docs, load(spark, sf_dir, "labels"), "toxic", ~held_out("doc_id", 4, 2), subword.TRAIN_ROWS)
+    scored = score_texts(docs, fit_in_one_task(sample, subword.fit, share), subword.load)
+    return scored.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lociweave.llm.ppm import identify, learn
+
+    docs = load(spark, sf_dir, "documents")
+    found = identify(docs, learn(docs, 4, 2))
+    return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "bits")
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,9 +69,9 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op10_near_duplicates]
+    found = [op2_mix_to_targets, op4_hilbert_shards, op5_quality, op6_secret_scan, op8_toxicity, op9_language, op10_near_duplicates]
     return {f.__name__: f for f in found}
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {"op10_near_duplicates": oracles.NEAR_DUPLICATES}
+    return {"op6_secret_scan": oracles.SECRET_SCAN, "op10_near_duplicates": oracles.NEAR_DUPLICATES}
