@@ -12,6 +12,12 @@ from lociweave.llm.common import held_out, load
 from lociweave.llm.labelled import fit_in_one_task, labelled_sample, score_texts
 
 
+def op1_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lociweave.llm.maxent_lm import score
+
+    return score(load(spark, sf_dir, "documents"), 7, 2)
+
+
 def op2_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates that bring the expected token shares of labelled quality to 95 parts of 1 and five of 0."""
     from lociweave.llm.mixing import mix_to_targets
@@ -21,6 +27,12 @@ def op2_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "tokens", F.col("p0").alias("p_quality_1"), F.col("p1").alias("p_quality_0"), "rate", "copies")
 
 
+def op3_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lociweave.llm.graph_ann import nearest
+
+    return nearest(load(spark, sf_dir, "embeddings"), k=20, query_step=20)
+
+
 def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lociweave.llm.hilbert import hilbert_shards
 
@@ -69,7 +81,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_mix_to_targets, op4_hilbert_shards, op5_quality, op6_secret_scan, op8_toxicity, op9_language, op10_near_duplicates]
+    found = [op1_maxent_lm, op2_mix_to_targets, op3_graph_ann, op4_hilbert_shards, op5_quality, op6_secret_scan, op8_toxicity, op9_language, op10_near_duplicates]
     return {f.__name__: f for f in found}
 
 
