@@ -42,3 +42,15 @@ def pick_rows(docs: DataFrame, ids: DataFrame, how: str, rows: int) -> DataFrame
     """Semi or anti join of whole documents with an id list of ``rows`` rows: broadcast while that is small, shuffled beyond."""
     side = F.broadcast(ids) if rows <= BROADCAST_ROWS else ids
     return docs.join(side, "doc_id", how)
+
+
+def keep_rows(docs: DataFrame, make: Callable[[], Callable[[list[bytes]], list[bool]]]) -> DataFrame:
+    """The rows whose text passes, with all columns as they are; ``make`` runs once a task and gives a function from texts to verdicts."""
+
+    def kernel(batches):
+        judge = make()
+        for rb in batches:
+            texts = [(x or "").encode() for x in rb.column(rb.schema.get_field_index("text")).to_pylist()]
+            yield rb.filter(pa.array(judge(texts), pa.bool_()))
+
+    return docs.mapInArrow(kernel, docs.schema)
