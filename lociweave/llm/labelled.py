@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lociweave.llm.common import as_bytes, map_batches
+from lociweave.llm.common import as_bytes, keep_rows, map_batches
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, teaches: Column, rows: tuple[int, int]) -> tuple[DataFrame, float]:
@@ -49,6 +49,17 @@ def score_texts(docs: DataFrame, blob: bytes, load: Callable[[bytes], Callable[[
     return map_batches(as_bytes(docs, F.col("doc_id").cast("long").alias("doc_id")), kernel, "doc_id long, score double")
 
 
+def drop_scored(docs: DataFrame, blob: bytes, load: Callable[[bytes], Callable[[list[bytes]], np.ndarray]], limit: float) -> DataFrame:
+    """The documents that score below ``limit``, with all columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(blob)
+
+    def make():
+        judge = load(shared.value)
+        return lambda texts: (np.asarray(judge(texts)) < limit).tolist()
+
+    return keep_rows(docs, make)
+
+
 def class_weights(y: np.ndarray, share: float) -> np.ndarray:
     """Weights of mean one that give class 1 the weight ``share``."""
     rate = min(max(float((y == 1).mean()), 1e-9), 1 - 1e-9)

@@ -57,6 +57,12 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lociweave.llm.decontam import contaminated
+
+    return contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lociweave.llm import subword
 
@@ -81,7 +87,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_maxent_lm, op2_mix_to_targets, op3_graph_ann, op4_hilbert_shards, op5_quality, op6_secret_scan, op8_toxicity, op9_language, op10_near_duplicates]
+    found = [op1_maxent_lm, op2_mix_to_targets, op3_graph_ann, op4_hilbert_shards, op5_quality, op6_secret_scan, op7_benchmark_leaks, op8_toxicity, op9_language, op10_near_duplicates]
     return {f.__name__: f for f in found}
 
 
