@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociweave.functions.similarity import passes, quantized_qual, size_bin
+from lociweave.functions.similarity import passes, quantized_qual, six_decimals, size_bin
 from lociweave.options import SVTYPES
 
 _NAMED = (*SVTYPES, "TRA")
@@ -56,37 +56,39 @@ def insertion_length(ref: Column, alt: Column, inslen: Column, svlen: Column, le
     return F.coalesce(positive(F.abs(inslen)), positive(F.abs(svlen)), positive(plain), positive(flanks), F.lit(0).cast("long"))
 
 
+def bound(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns behind a generator of one row: filters on them are not pushed below, where their expressions would be copied into each."""
+    one = df.withColumn("_bound", F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+    return one.select(*(c for c in df.columns if c not in columns), *(F.col("_bound")[n].alias(n) for n in columns))
+
+
 def normalize(df: DataFrame, chr_set: tuple[str, ...] | None = None, known_contigs: list[str] | None = None) -> DataFrame:
     """Adds the normal columns of ``schema`` to records with chrom, pos, id, ref, alt, qual, filters, info and lineno.
 
     A record with more than one ALT raises an error when it is read. Skipped records stay, with ``skip_reason``.
     """
     alt = F.when(F.size("alt") > 1, F.raise_error(F.concat(F.lit("more than one ALT at "), F.col("chrom"), F.lit(":"), F.col("pos").cast("string")))).otherwise(F.get("alt", F.lit(0)))
-    df = df.withColumn("_alt", alt)
+    df = bound(df, {"_alt": alt, "_svlen": first_int(info("SVLEN")), "_inslen": first_int(info("INSLEN"))})
     mate, mate_pos = bnd_mate(F.col("_alt"))
-    df = df.withColumns({
-        "_type": F.coalesce(resolved_type(F.col("_alt"), info("SVTYPE")), F.lit("UNKNOWN")),
-        "_chr2": mate, "_pos2": mate_pos,
-        "_svlen": first_int(info("SVLEN")),
-        "_end": F.coalesce(first_int(info("END")), F.col("pos") + F.abs(first_int(info("SVLEN")))),
+    df = bound(df, {
+        "_type": F.coalesce(resolved_type(F.col("_alt"), info("SVTYPE")), F.lit("UNKNOWN")), "_chr2": mate, "_pos2": mate_pos,
+        "_end": F.coalesce(first_int(info("END")), F.col("pos") + F.abs("_svlen")),
+        "_ins": insertion_length(F.col("ref"), F.col("_alt"), F.col("_inslen"), F.col("_svlen"), info("LEFT_SVINSSEQ"), info("RIGHT_SVINSSEQ")),
     })
-    df = df.withColumn("_inslen", insertion_length(F.col("ref"), F.col("_alt"), first_int(info("INSLEN")), F.col("_svlen"), info("LEFT_SVINSSEQ"), info("RIGHT_SVINSSEQ")))
     kind = F.col("_type")
-    reason = F.lit(None).cast("string")
-    if known_contigs is not None:
-        reason = F.when(~F.col("chrom").isin(known_contigs), F.lit("unknown_contig"))
+    unknown = F.lit(False) if known_contigs is None else ~F.col("chrom").isin(known_contigs)
+    outside = F.lit(False) if chr_set is None else (kind == "BND") & ~F.col("_chr2").isin(*chr_set)
     reason = (
-        F.when(reason.isNotNull(), reason).when(kind == "UNKNOWN", "unresolvable_svtype").when(kind == "TRA", "unsupported_tra").when((kind == "BND") & F.col("_chr2").isNull(), "malformed_bnd")
-        .when((kind == "INS") & (F.col("_inslen") <= 0), "unresolvable_ins_len").when(~kind.isin("BND", "INS") & F.col("_end").isNull(), "unresolvable_end")
-        .when(~kind.isin("BND", "INS") & (F.col("_end") <= F.col("pos")), "end_le_pos")
+        F.when(unknown, "unknown_contig").when(kind == "UNKNOWN", "unresolvable_svtype").when(kind == "TRA", "unsupported_tra").when((kind == "BND") & F.col("_chr2").isNull(), "malformed_bnd")
+        .when((kind == "INS") & (F.col("_ins") <= 0), "unresolvable_ins_len").when(~kind.isin("BND", "INS") & F.col("_end").isNull(), "unresolvable_end")
+        .when(~kind.isin("BND", "INS") & (F.col("_end") <= F.col("pos")), "end_le_pos").when(outside, "chrom_filtered")
     )
-    if chr_set is not None:
-        reason = F.when(reason.isNotNull(), reason).when((kind == "BND") & ~F.col("_chr2").isin(*chr_set), "chrom_filtered")
-    df = df.withColumn("skip_reason", reason)
+    df = bound(df, {"skip_reason": reason})
     kept = F.col("skip_reason").isNull()
     point = kind.isin("BND", "INS")
-    length = F.when(kind == "INS", F.col("_inslen")).when(kind != "BND", F.coalesce(F.abs("_svlen"), F.when(F.col("_end") > F.col("pos"), F.col("_end") - F.col("pos"))))
-    return df.withColumns({
+    length = F.when(kind == "INS", F.col("_ins")).when(kind != "BND", F.coalesce(F.abs("_svlen"), F.when(F.col("_end") > F.col("pos"), F.col("_end") - F.col("pos"))))
+    nameless = F.coalesce(F.col("id").isin(".", ""), F.lit(True))
+    out = bound(df, {
         "svtype": F.when(kept, kind),
         "end_pos": F.when(kept, F.when(point, F.col("pos") + 1).otherwise(F.col("_end"))),
         "svlen": F.when(kept, length),
@@ -95,8 +97,9 @@ def normalize(df: DataFrame, chr_set: tuple[str, ...] | None = None, known_conti
         "size_bin": F.when(kept, F.when(point, F.lit(0)).otherwise(size_bin(F.col("_end") - F.col("pos")))),
         "is_pass": passes(F.col("filters")),
         "qual_q": quantized_qual(F.col("qual")),
-        "id": F.when(kept & ((F.col("id") == ".") | (F.col("id") == "") | F.col("id").isNull()), synthesized_id(kind)).otherwise(F.col("id")),
-    }).drop("_alt", "_type", "_chr2", "_pos2", "_svlen", "_end", "_inslen")
+        "id": F.when(kept & nameless, synthesized_id(kind)).otherwise(F.col("id")),
+    })
+    return out.drop("_alt", "_type", "_chr2", "_pos2", "_svlen", "_end", "_ins", "_inslen")
 
 
 def synthesized_id(kind: Column) -> Column:
@@ -121,7 +124,7 @@ def info_text(info_map: str, names: list[str], floats: tuple[str, ...] = ()) ->
 
     def one(n: str) -> Column:
         v = F.col(info_map)[n]
-        shown = F.array_join(F.transform(F.split(v, ","), lambda x: F.format_string("%.6f", x.cast("float").cast("double"))), ",") if n in floats else v
+        shown = F.array_join(F.transform(F.split(v, ","), lambda x: six_decimals(x.cast("float").cast("double"))), ",") if n in floats else v
         return F.when(v.isNotNull(), F.concat(F.lit(f"{n}="), shown))
 
     joined = F.concat_ws(";", *(one(n) for n in names))

@@ -57,3 +57,8 @@ def quantized_qual(qual: Column) -> Column:
 def passes(filters: Column) -> Column:
     """No filter at all, or PASS alone."""
     return F.coalesce((F.size(filters) <= 0) | (filters == F.array(F.lit("PASS"))), F.lit(True))
+
+
+def six_decimals(x: Column) -> Column:
+    """Text with six decimals; exact ties go to the even digit."""
+    return F.format_string("%.6f", F.bround(x, 6))

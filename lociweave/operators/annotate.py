@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociweave.functions.aggspec import COUNT, SIMILARITY, Aggregate
+from lociweave.functions.similarity import six_decimals
 from lociweave.operators.match import match
 from lociweave.options import MatchOptions
 
@@ -19,7 +20,7 @@ def field_values(info: str | Column, name: str, kind: str) -> Column:
     source = F.col(info) if isinstance(info, str) else info
     parts = F.split(source[name], ",")
     if kind == "Float":
-        return F.transform(parts, lambda x: F.format_string("%.6f", x.try_cast("float").cast("double")))
+        return F.transform(parts, lambda x: six_decimals(x.try_cast("float").cast("double")))
     return parts
 
 
@@ -32,7 +33,7 @@ def aggregate_column(spec: Aggregate, values: Column, sim: Column, kind: str) ->
     if spec.source == COUNT:
         return F.count(F.lit(1)).cast("int")
     if spec.source == SIMILARITY:
-        values, kind = F.array(F.format_string("%.6f", sim)), "Float"
+        values, kind = F.array(six_decimals(sim)), "Float"
     typed = {"Integer": lambda c: F.coalesce(c.try_cast("int"), c.try_cast("double").cast("int")), "Float": lambda c: c.try_cast("double")}.get(kind, lambda c: c)
     shown = lambda number: F.round(number, 6) if kind != "Integer" else number.cast("int")
     some = F.size(values) > 0
@@ -76,7 +77,7 @@ def as_info_text(spec: Aggregate, kind: str) -> Column:
     """An output column as INFO text."""
     many, base = spec.number_and_type(kind)
     c = F.col(spec.out)
-    one = (lambda x: F.format_string("%.6f", x)) if base == "Float" else (lambda x: x.cast("string"))
+    one = six_decimals if base == "Float" else (lambda x: x.cast("string"))
     return F.array_join(F.transform(c, one), ",") if many == "." else F.when(c.isNotNull(), one(c))
 
 

@@ -65,13 +65,17 @@ def callers_union(members: DataFrame) -> DataFrame:
 def merge(records: DataFrame, samples: list[str], options: ClusterOptions = ClusterOptions(), missing_to_ref: bool = False) -> DataFrame:
     """The representatives' rows of ``records`` with cluster_id, genotypes, ac, an and af, which replace columns of these names.
 
-    ``records`` have sample and gt; ``samples`` lists all of the cohort.
+    ``records`` have sample and gt; ``samples`` lists all of the cohort. If they have a column ``callers`` of comma-separated names,
+    it becomes the union over the cluster, with n_callers.
     """
     kept = active(records, options.match)
     clusters, edges = staged_clusters(kept, match_self(kept, options.match), options.linkage, options.match.threshold)
     reps = representatives(kept, clusters, edges, options.priority)
-    members = clusters.join(reps, "cluster_id").join(kept.select("src_index", "caller_idx", "is_pass", "qual_q", "sample", "gt"), "src_index")
+    named = ["callers"] if "callers" in kept.columns else []
+    members = clusters.join(reps, "cluster_id").join(kept.select("src_index", "caller_idx", "is_pass", "qual_q", "sample", "gt", *named), "src_index")
     picks = sample_picks(members, options.priority)
     counts = allele_counts(picks, len(samples), missing_to_ref)
     found = reps.join(counts, "cluster_id").join(genotype_map(picks), "cluster_id").withColumnRenamed("rep", "src_index")
-    return kept.drop("cluster_id", "genotypes", "ac", "an", "af").join(found, "src_index")
+    if named:
+        found = found.join(callers_union(members), "cluster_id", "left")
+    return kept.drop("cluster_id", "genotypes", "ac", "an", "af", "callers", "n_callers").join(found, "src_index")

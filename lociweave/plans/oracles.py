@@ -114,7 +114,7 @@ def _cohort(missing_to_ref: bool) -> str:
     blank, more = ("'0/0'", " + (3 - count(*)) * 2") if missing_to_ref else ("'./.'", "")
     gts = ", ".join(f"coalesce(max(gt) FILTER (sample = '{s}'), {blank}) AS gt_{s.lower()}" for s in ("S0", "S1", "S2"))
     return f"""{_reps(_PASS_QUAL)}, {_PICKS}, counted AS (SELECT cluster_id, rep, {gts}, CAST(sum(a) AS INT) AS ac, CAST(sum(c){more} AS INT) AS an FROM picks GROUP BY cluster_id, rep)
-SELECT k.rep AS src_index, cluster_id, chrom, pos, gt_s0, gt_s1, gt_s2, ac, an, CAST(floor(CASE WHEN an > 0 THEN CAST(ac AS DOUBLE) / an END * 1000000) AS BIGINT) AS af_micro
+SELECT k.rep AS src_index, cluster_id, chrom, pos, gt_s0, gt_s1, gt_s2, k.ac AS ac, an, CAST(floor(CASE WHEN an > 0 THEN CAST(k.ac AS DOUBLE) / an END * 1000000) AS BIGINT) AS af_micro
 FROM counted k JOIN calls ON calls.src_index = k.rep"""
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lociweave.functions import normalize as norm
 from lociweave.functions.aggspec import parse_aggregate
-from lociweave.functions.similarity import quantized_qual, signed_svlen
+from lociweave.functions.similarity import quantized_qual, signed_svlen, six_decimals
 from lociweave.operators import cluster as cl
 from lociweave.operators import match as m
 from lociweave.operators.annotate import annotate
@@ -85,7 +85,7 @@ def match_contigs(spark, sf_dir):
 @query
 def match_resolved(spark, sf_dir):
     a, b = sides(spark, sf_dir)
-    return m.resolved(m.match(a, b, JACCARD), a, b, ("qual_q", "sample")).select("src_a", "src_b", "svtype", "qual_q_a", "qual_q_b", "sample_a", "sample_b", F.format_string("%.6f", F.round("sim", 6)).substr(1, 5).alias("sim_text"))
+    return m.resolved(m.match(a, b, JACCARD), a, b, ("qual_q", "sample")).select("src_a", "src_b", "svtype", "qual_q_a", "qual_q_b", "sample_a", "sample_b", six_decimals(F.col("sim")).substr(1, 5).alias("sim_text"))
 
 
 @query

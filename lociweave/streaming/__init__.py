@@ -1,0 +1 @@
+"""Structured Streaming forms of the joins against a fixed database."""
