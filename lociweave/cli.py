@@ -61,6 +61,7 @@ def _clustered(p: argparse.ArgumentParser) -> None:
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="lociweave", description="Match, annotate, collapse and merge structural-variant callsets.")
     top.add_argument("--version", action="version", version=__version__)
+    top.add_argument("--license", action="version", version="No license has been chosen for this software.", help="print the license and stop")
     sub = top.add_subparsers(dest="command", required=True)
     p = sub.add_parser("match", help="pairs of similar records")
     p.add_argument("inputs", nargs="+")

@@ -13,10 +13,12 @@ from lociweave.functions.normalize import info_text, kept_info, skip_statistics,
 from lociweave.functions.similarity import signed_svlen
 from lociweave.operators import annotate as an
 from lociweave.operators import setops
+from lociweave.operators.cluster import large_components, unique_edges
 from lociweave.operators.collapse import collapse
 from lociweave.operators.match import active, match, match_self, resolved
 from lociweave.operators.merge import alternate, called, merge
 from lociweave.options import ClusterOptions, MatchOptions
+from lociweave.plans.runtime import materialize
 from lociweave.sources.header import Field, collapse_sample, contig_union, output_header, single_samples, unify
 from lociweave.sources.tsv import write_pairs
 from lociweave.sources.vcf import assign_index, check_output, read_callset, read_header, record_line, show_number, write_callset
@@ -89,6 +91,14 @@ def _renamed(info: Column, renames: dict[str, str]) -> Column:
     return F.transform_keys(info, lambda k, _: reduce(lambda c, r: F.when(k == r[0], F.lit(r[1])).otherwise(c), renames.items(), k))
 
 
+def _warn_large(records: DataFrame, options: ClusterOptions, verbose: bool) -> None:
+    """Names the components that agglomeration may find large; costs a match of its own, so only on request."""
+    if verbose:
+        edges = unique_edges(match_self(records, options.match))
+        for r in large_components(edges).orderBy(F.desc("n")).limit(20).collect():
+            log.warning("component %d has %d records; overlapping noise may chain them", r["component"], r["n"])
+
+
 def _union(spark: SparkSession, paths: list[str], names: list[str], options: MatchOptions, info: list[str] | None, formats: list[str], verbose: bool):
     headers = [read_header(spark, p) for p in paths]
     contigs = contig_union(headers, options.chr_set)
@@ -103,7 +113,7 @@ def _union(spark: SparkSession, paths: list[str], names: list[str], options: Mat
     records = reduce(DataFrame.unionByName, parts)
     _summary(records, verbose)
     _warn_missing(options, set(contigs))
-    return headers, unified, assign_index(active(records, options))
+    return headers, unified, materialize(assign_index(active(records, options)), "indexed")
 
 
 def _authoritative(svtype_always: bool, keep: list[str]) -> Column:
@@ -142,6 +152,7 @@ def run_collapse(spark: SparkSession, inputs: list[tuple[str, str]], output: str
     headers, unified, records = _union(spark, paths, names, options.match, info, formats, verbose)
     sample = collapse_sample(headers) if formats else []
     keep = ["SVTYPE", "SVLEN", "END", "CHR2", "POS2"] if info is None else info
+    _warn_large(records, options, verbose)
     found = collapse(records, names, options)
     extra = (Field("CALLERS", ".", "String", "Callers in the cluster, the representative's first"), Field("N_CALLERS", "1", "Integer", "Distinct callers in the cluster"), Field("N_MERGED", "1", "Integer", "Records in the cluster"))
     own = F.map_from_arrays(F.array(*(F.lit(f.id) for f in extra)), F.array(F.col("callers"), F.col("n_callers").cast("string"), F.col("n_merged").cast("string")))
@@ -163,12 +174,16 @@ def run_merge(spark: SparkSession, paths: list[str], output: str, options: Clust
     formats = formats if "GT" in formats else ["GT", *formats]
     headers, unified, records = _union(spark, paths, samples, options.match, info, formats, verbose)
     keep = list(dict.fromkeys(["SVTYPE", "SVLEN", "END", "CHR2", "POS2", *(info or [])]))
+    _warn_large(records, options, verbose)
     named = F.array(*(F.lit(s) for s in samples))
     records = records.withColumns({"sample": F.get(named, F.col("caller_idx")), "gt": F.array_join(_sample_values(formats), ":")})
     has_callers = any("CALLERS" in h.info for h in headers)
     if has_callers:
         records = records.withColumn("callers", F.col("info")["CALLERS"])
-    wide = merge(records, samples, options)
+    wide = materialize(merge(records, samples, options), "cohort")
+    lost = wide.agg(F.sum("collisions")).first()[0]
+    if lost:
+        log.warning("%d records were passed over for another record of the same sample in their cluster", lost)
     # ``gt`` carries all wanted FORMAT values of a sample; the genotype is where GT stands among them.
     at = formats.index("GT")
     genotype = lambda s: F.get(F.split(s, ":"), F.lit(at))

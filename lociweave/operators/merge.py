@@ -63,7 +63,8 @@ def callers_union(members: DataFrame) -> DataFrame:
 
 
 def merge(records: DataFrame, samples: list[str], options: ClusterOptions = ClusterOptions(), missing_to_ref: bool = False) -> DataFrame:
-    """The representatives' rows of ``records`` with cluster_id, genotypes, ac, an and af, which replace columns of these names.
+    """The representatives' rows of ``records`` with cluster_id, genotypes, ac, an, af and collisions (records passed over for another of
+    the same sample), which replace columns of these names.
 
     ``records`` have sample and gt; ``samples`` lists all of the cohort. If they have a column ``callers`` of comma-separated names,
     it becomes the union over the cluster, with n_callers.
@@ -75,7 +76,8 @@ def merge(records: DataFrame, samples: list[str], options: ClusterOptions = Clus
     members = clusters.join(reps, "cluster_id").join(kept.select("src_index", "caller_idx", "is_pass", "qual_q", "sample", "gt", *named), "src_index")
     picks = sample_picks(members, options.priority)
     counts = allele_counts(picks, len(samples), missing_to_ref)
-    found = reps.join(counts, "cluster_id").join(genotype_map(picks), "cluster_id").withColumnRenamed("rep", "src_index")
+    lost = picks.groupBy("cluster_id").agg((F.sum("n") - F.count(F.lit(1))).alias("collisions"))
+    found = reps.join(counts, "cluster_id").join(genotype_map(picks), "cluster_id").join(lost, "cluster_id").withColumnRenamed("rep", "src_index")
     if named:
         found = found.join(callers_union(members), "cluster_id", "left")
-    return kept.drop("cluster_id", "genotypes", "ac", "an", "af", "callers", "n_callers").join(found, "src_index")
+    return kept.drop("cluster_id", "genotypes", "ac", "an", "af", "collisions", "callers", "n_callers").join(found, "src_index")

@@ -9,6 +9,7 @@ from __future__ import annotations
 import contextlib
 import sys
 from collections.abc import Iterator
+from itertools import batched, chain
 from pathlib import Path
 
 import pyarrow as pa
@@ -46,14 +47,8 @@ def _bcf_lines(spark: SparkSession, path: str) -> DataFrame:
             for content in rb.column("content"):
                 data = decompress(content.as_py())
                 header, names, contigs, at = bcf.read_header(data)
-                out = header.lines()
-                for i, line in enumerate([*out, *bcf.decode(data, at, names, contigs)]):
-                    out = [line] if i == 0 else [*out, line] if len(out) < 4096 else out
-                    if len(out) == 4096:
-                        yield pa.RecordBatch.from_pydict({"value": pa.array(out)})
-                        out = []
-                if out:
-                    yield pa.RecordBatch.from_pydict({"value": pa.array(out)})
+                for lines in batched(chain(header.lines(), bcf.decode(data, at, names, contigs)), 4096):
+                    yield pa.RecordBatch.from_pydict({"value": pa.array(lines)})
 
     return files.mapInArrow(kernel, "value string").withColumn("_start", F.lit(0).cast("long"))
 

@@ -172,6 +172,25 @@ def test_merge(spark, files, tmp_path, to_ref, end):
         assert bin_of(999, 2000) in bins[0] and bins[1] == {}
 
 
+def test_same_sample_collisions_are_told(spark, tmp_path, caplog):
+    rows = [fx.interval("a", "chr1", 1000, 2000, "DEL", gt="0/0", filt="LowQual"), fx.interval("b", "chr1", 1000, 2000, "DEL", gt="0/1")]
+    for s, r in (("S1", rows), ("S2", fx.COHORT["S2"])):
+        (tmp_path / f"{s}.vcf").write_text(fx.text(fx.header(fx.SV, (s,)), r))
+    out = str(tmp_path / "m.vcf")
+    with caplog.at_level("WARNING", logger="lociweave"):
+        commands.run_merge(spark, [str(tmp_path / "S1.vcf"), str(tmp_path / "S2.vcf")], out, verbose=True)
+    assert "1 records were passed over" in caplog.text
+    assert body(out)[0][9:11] == ["0/1", "1/1"]
+
+
+def test_callers_are_united(spark, tmp_path):
+    for s, names in (("S1", "delly,manta"), ("S2", "gatk, delly")):
+        (tmp_path / f"{s}.vcf").write_text(fx.text(fx.header([*fx.SV, "CALLERS"], (s,)), [fx.interval("a", "chr1", 1000, 2000, "DEL", f";CALLERS={names}", gt="0/1")]))
+    out = str(tmp_path / "m.vcf")
+    commands.run_merge(spark, [str(tmp_path / "S1.vcf"), str(tmp_path / "S2.vcf")], out)
+    assert (info(body(out)[0])["CALLERS"], info(body(out)[0])["N_CALLERS"]) == ("delly,manta,gatk", "3")
+
+
 def test_merge_rejects(spark, files):
     for paths in (["S1"], ["S1", "S1"], ["S1", "A"]):
         with pytest.raises(ValueError):
