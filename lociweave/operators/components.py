@@ -7,12 +7,25 @@ from pyspark.sql import functions as F
 
 from lociweave.plans.runtime import drop_staged, materialize
 
+#: Edges (of two keys of up to 16 bytes) up to which the minima of a round are broadcast: some ten megabytes.
+_BROADCAST_EDGES = 200_000
+
 
 def _fingerprint(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("hi", "lo"), F.lit(1 << 40))).alias("h")).first()
     return row["n"], row["h"]
 
 
+def _with_least(edges: DataFrame, rows: int, key: str, value: str) -> DataFrame:
+    """``edges`` (at most ``rows`` rows) with m, the least ``value`` of each ``key``.
+
+    The minima are broadcast while they are few. Beyond that they are staged, so that both sides of the join are plain
+    exchanges and the adaptive skew join can split a key that holds a large part of the edges.
+    """
+    least = edges.groupBy(key).agg(F.min(value).alias("m"))
+    return edges.join(F.broadcast(least) if rows <= _BROADCAST_EDGES else materialize(least, "least"), key)
+
+
 def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 60) -> DataFrame:
     """Label every node that has an edge with the smallest node it can reach.
 
@@ -28,11 +41,11 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
         if not seen[0]:
             break
         both = now.select(F.col("hi").alias("a"), F.col("lo").alias("b")).union(now.select(F.col("lo").alias("a"), F.col("hi").alias("b")))
-        nearest = both.groupBy("a").agg(F.min("b").alias("m"))
-        large = both.join(nearest, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("hi"), F.least("a", "m").alias("lo")).distinct()
-        parent = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        moved = large.join(parent, "hi").where(F.col("lo") != F.col("m")).select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        after = materialize(moved.union(parent.select("hi", F.col("m").alias("lo"))).distinct(), "cc")
+        large = _with_least(both, 2 * seen[0], "a", "b").where(F.col("b") > F.col("a")).select(F.col("b").alias("hi"), F.least("a", "m").alias("lo")).distinct()
+        small = _with_least(large, 2 * seen[0], "hi", "lo")
+        # Each row gives its lower end the least one as parent, and its higher end too.
+        ends = F.explode(F.array(F.col("lo"), F.col("hi")))
+        after = materialize(small.select(ends.alias("hi"), F.col("m").alias("lo")).where(F.col("hi") != F.col("lo")).distinct(), "cc")
         drop_staged(now)
         now, before, seen = after, seen, _fingerprint(after)
         if seen == before:
