@@ -145,7 +145,6 @@ def _alleles_shown(reconstruct: bool) -> Column:
 
 def run_collapse(spark: SparkSession, inputs: list[tuple[str, str]], output: str, options: ClusterOptions = ClusterOptions(), info: list[str] | None = None, formats: list[str] | None = None, write_index: bool = False, command: str = "", verbose: bool = False, keep_alt: bool = False) -> int:
     """One record per cluster of the (name, path) callers' records of a sample. DEL, DUP and INV lose their ALT unless ``keep_alt``."""
-    check_output(output)
     if not inputs:
         raise ValueError("collapse needs an input")
     names, paths, formats = [n for n, _ in inputs], [p for _, p in inputs], ["GT"] if formats is None else formats
@@ -168,7 +167,6 @@ def run_collapse(spark: SparkSession, inputs: list[tuple[str, str]], output: str
 
 def run_merge(spark: SparkSession, paths: list[str], output: str, options: ClusterOptions = ClusterOptions(), info: list[str] | None = None, formats: list[str] | None = None, missing_to_ref: bool = False, write_index: bool = False, command: str = "", verbose: bool = False) -> int:
     """The cohort table of single-sample files: one row per cluster with a column per sample and AC, AN and AF."""
-    check_output(output)
     samples = single_samples([read_header(spark, p) for p in paths])
     formats = list(formats or ["GT"])
     formats = formats if "GT" in formats else ["GT", *formats]
