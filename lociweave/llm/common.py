@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from lociweave.plans.runtime import BROADCAST_ROWS
 
+BATCH_ROWS = 512
+
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -30,12 +32,20 @@ def as_bytes(docs: DataFrame, *columns, text: str = "text") -> DataFrame:
     return docs.select(*columns, F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("raw"))
 
 
-def map_batches(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(kernel, schema)
+def small_batches(spark: SparkSession) -> None:
+    """Hands texts to Python in batches of ``BATCH_ROWS`` unless the session sets a size of its own.
 
+    Spark's default of 10,000 rows makes batches of tens of megabytes out of whole texts, held several times over
+    by each task on both sides; results do not depend on it.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
 
-def batch(**columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict(columns)
+
+def map_batches(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    small_batches(df.sparkSession)
+    return df.mapInArrow(kernel, schema)
 
 
 def pick_rows(docs: DataFrame, ids: DataFrame, how: str, rows: int) -> DataFrame:
@@ -53,4 +63,5 @@ def keep_rows(docs: DataFrame, make: Callable[[], Callable[[list[bytes]], list[b
             texts = [(x or "").encode() for x in rb.column(rb.schema.get_field_index("text")).to_pylist()]
             yield rb.filter(pa.array(judge(texts), pa.bool_()))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(kernel, docs.schema)
