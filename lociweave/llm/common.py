@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lociweave.plans.runtime import BROADCAST_ROWS
 
@@ -27,6 +28,23 @@ def held_out(column: str, modulus: int, kept_back: int) -> Column:
     return F.coalesce(remainder(column, modulus) == kept_back, F.lit(False))
 
 
+def hash_sample(df: DataFrame, rows: dict, by: str, key: str = "doc_id") -> tuple[DataFrame, dict]:
+    """At most ``rows[g]`` rows of each group g of ``by``, those with the smallest hash of ``key``; and the groups' sizes.
+
+    A cut of the hash range, set from the counts, thins each group to little more than its share before rows are ranked, so
+    what reaches the ranking tasks does not grow with the input.
+    """
+    sizes = {r[by]: r["n"] for r in df.groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect() if r[by] in rows}
+    span = 1 << 30
+    hashed = df.withColumn("_u", F.pmod(F.xxhash64(key), F.lit(span)))
+    cut, most = F.lit(0), F.lit(0)
+    for g, n in sizes.items():
+        cut = F.when(F.col(by) == g, F.lit(int(span * min(1.0, (1.3 * rows[g] + 200) / n)))).otherwise(cut)
+        most = F.when(F.col(by) == g, F.lit(rows[g])).otherwise(most)
+    ranked = hashed.where(F.col("_u") < cut).withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy("_u", key)))
+    return ranked.where(F.col("_r") <= most).drop("_u", "_r"), sizes
+
+
 def as_bytes(docs: DataFrame, *columns, text: str = "text") -> DataFrame:
     """``columns`` plus the text as UTF-8 bytes in ``raw``; a null text becomes empty."""
     return docs.select(*columns, F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("raw"))

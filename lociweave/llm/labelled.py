@@ -8,19 +8,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lociweave.llm.common import as_bytes, keep_rows, map_batches
+from lociweave.llm.common import as_bytes, hash_sample, keep_rows, map_batches
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, teaches: Column, rows: tuple[int, int]) -> tuple[DataFrame, float]:
     """raw and y of at most ``rows[y]`` labelled ids of each class for which ``teaches`` holds, chosen by id hash, with whole
     texts; and the share of class 1 among all of them, smoothed, which weights the classes as they are in the whole table."""
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & teaches).select("doc_id", F.col(label).cast("int").alias("y"))
-    n = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("ones")).first()
-    order = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.when(F.col("y") == 1, rows[1]).otherwise(rows[0])).where(F.col("r") <= max(rows)).select("doc_id", "y")
-    return as_bytes(docs, "doc_id").join(F.broadcast(chosen), "doc_id").select("doc_id", "raw", "y"), (n["ones"] + 1) / (n["n"] + 2)
+    chosen, sizes = hash_sample(known, {0: rows[0], 1: rows[1]}, "y")
+    return as_bytes(docs, "doc_id").join(F.broadcast(chosen), "doc_id").select("doc_id", "raw", "y"), (sizes.get(1, 0) + 1) / (sum(sizes.values()) + 2)
 
 
 def fit_in_one_task(sample: DataFrame, fit: Callable[[list[bytes], np.ndarray, float], bytes], share: float) -> bytes:

@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociweave.llm.common import pick_rows
+from lociweave.llm.common import hash_sample, pick_rows
 from lociweave.plans.runtime import BROADCAST_ROWS, drop_staged, materialize
 
 LABELLED_ROWS = 20_000
@@ -41,8 +41,8 @@ def _endings(docs: DataFrame, buckets: int) -> DataFrame:
 
 def _classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], labelled_rows: int, buckets: int) -> tuple[DataFrame, list[float]]:
     """bucket and a log-likelihood per domain for the buckets seen, and the log priors followed by the unseen bucket's values."""
-    chosen = labelled.where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(labelled_rows)
-    chosen = materialize(chosen.select("doc_id", "domain"), "labelled")
+    known = labelled.where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull()).select("doc_id", "domain", F.lit(0).alias("all"))
+    chosen = materialize(hash_sample(known, {0: labelled_rows}, "all")[0].drop("all"), "labelled")
     seen = _endings(docs, buckets).join(F.broadcast(chosen), "doc_id").where("bucket is not null")
     counts = seen.groupBy("bucket").agg(*(F.sum(F.when(F.col("domain") == d, 1).otherwise(0)).alias(f"n{i}") for i, d in enumerate(domains)))
     counts = materialize(counts, "endings")
@@ -73,7 +73,11 @@ def domain_posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str],
 
 
 def fit_rates(members: DataFrame, targets: list[float], budget: float | None = None, min_rate: float = 0.0, max_rate: float = 16.0, steps: int = STEPS) -> DataFrame:
-    """Adds ``rate`` to doc_id, tokens, p0..: expected domain totals near ``targets`` times ``budget`` (default: all tokens; more if ``min_rate`` needs it)."""
+    """Adds ``rate`` to doc_id, tokens, p0..: expected domain totals near ``targets`` times ``budget`` (default: all tokens; more if ``min_rate`` needs it).
+
+    Where no rates within the bounds meet the targets, the least-squares rates stand; with a positive ``min_rate`` the budget is what
+    hard memberships would need, so soft ones can leave a residual.
+    """
     k = len(targets)
     start = max(1.0, min_rate)
     table = materialize(members.withColumn("rate", F.lit(start)), "rates")

@@ -21,9 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lociweave.llm.common import as_bytes, held_out, map_batches
+from lociweave.llm.common import as_bytes, hash_sample, held_out, map_batches
 
 ROWS_PER_LANGUAGE = 400
 MAX_NODES = 400_000
@@ -151,8 +150,8 @@ def learn(docs: DataFrame, modulus: int | None = None, kept_back: int | None = N
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     if modulus is not None:
         known = known.where(~held_out("doc_id", modulus, kept_back))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= rows_per_language).select(F.col("doc_id").alias("id"), F.col("lang").alias("l"))
+    langs = [r["lang"] for r in known.select("lang").distinct().collect()]
+    ids = hash_sample(known.select("doc_id", "lang"), {x: rows_per_language for x in langs}, "lang")[0].select(F.col("doc_id").alias("id"), F.col("lang").alias("l"))
     sample = known.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("lang") == F.col("l")), "left_semi")
     return Trees([tuple(r) for r in _counted(as_bytes(sample, "lang"), max_nodes)])
 
