@@ -23,6 +23,8 @@ ORDERS = (3, 4, 5, 6)
 BITS = 18
 DIMENSION = 8
 EPOCHS = 14
+#: Small samples get more epochs, up to this many steps in all.
+LEAST_STEPS = 400
 BATCH = 64
 RATE = 0.15
 LEAST_DOCUMENTS = 2
@@ -70,8 +72,9 @@ def fit(texts: list[bytes], y: np.ndarray, share: float) -> bytes:
     bias = np.array([np.log(1 - share), np.log(share)], dtype=np.float32)
     weight = class_weights(y, share).astype(np.float32)
     past_table, past_head, past_bias = np.full(kinds, 1e-10, np.float32), np.full_like(head, 1e-6), np.full_like(bias, 1e-6)
-    for epoch in range(EPOCHS):
-        step = RATE * (1 - epoch / EPOCHS)
+    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // len(rows)))
+    for epoch in range(epochs):
+        step = RATE * (1 - epoch / epochs)
         order = rng.permutation(len(rows))
         for at in range(0, len(order), BATCH):
             some = [i for i in order[at : at + BATCH] if len(rows[i][0])]
