@@ -1,7 +1,8 @@
-"""Connected components by alternating large-star and small-star rounds, all in DataFrame operations."""
+"""Connected components: edges contracted within tasks, then alternating large-star and small-star rounds."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from lociweave.plans.runtime import drop_staged, materialize
 
 #: Edges (of two keys of up to 16 bytes) up to which the minima of a round are broadcast: some ten megabytes.
 _BROADCAST_EDGES = 200_000
+_CHUNK_NODES = 500_000
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -26,16 +28,47 @@ def _with_least(edges: DataFrame, rows: int, key: str, value: str) -> DataFrame:
     return edges.join(F.broadcast(least) if rows <= _BROADCAST_EDGES else materialize(least, "least"), key)
 
 
+def _contracted(edges: DataFrame) -> DataFrame:
+    """The edges of each task replaced by stars over the components they form there, in chunks of at most ``_CHUNK_NODES`` nodes."""
+
+    def kernel(batches):
+        parent: dict = {}
+
+        def root(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        def stars():
+            rows = [(x, r) for x in list(parent) if (r := root(x)) != x]
+            parent.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(fields)], ["hi", "lo"])
+
+        fields = None
+        for rb in batches:
+            fields = [rb.schema.field("hi"), rb.schema.field("lo")]
+            for a, b in zip(rb.column("hi").to_pylist(), rb.column("lo").to_pylist(), strict=True):
+                a, b = root(a), root(b)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+            if len(parent) > _CHUNK_NODES:
+                yield stars()
+        if parent:
+            yield stars()
+
+    return edges.mapInArrow(kernel, edges.schema)
+
+
 def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 60) -> DataFrame:
     """Label every node that has an edge with the smallest node it can reach.
 
     Returns ``node, component``. Self loops, repeated edges and rows with a null end add nothing. The edges are
-    rewritten into stars; a round costs two shuffles of at most the number of edges, and the number of rounds grows
+    first contracted within each task, then rewritten into stars; a round costs two shuffles of at most the number of edges, and the number of rounds grows
     with the logarithm of the longest path. Each round's minimum is pre-aggregated, so a star with a huge centre
     is split by the adaptive skew join and never lands in one task. Stops when a round changes nothing.
     """
     ends = edges.select(F.greatest(src, dst).alias("hi"), F.least(src, dst).alias("lo")).where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col("hi") != F.col("lo")))
-    now = materialize(ends.distinct(), "cc")
+    now = materialize(_contracted(ends).distinct(), "cc")
     seen = _fingerprint(now)
     for _ in range(max_rounds):
         if not seen[0]:
