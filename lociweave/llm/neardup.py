@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from lociweave.llm.common import as_bytes, map_batches, pick_rows
 from lociweave.llm.shingles import mix, shared, shingle_set
 from lociweave.operators.components import connected_components
-from lociweave.plans.runtime import materialize
+from lociweave.plans.runtime import broadcast_bounded, materialize
 
 COORDINATES = 32
 BLOCK_ROWS = 2048
@@ -103,15 +103,22 @@ def _dealt(members: DataFrame, percent: int, block_rows: int) -> DataFrame:
     A group of at most ``block_rows`` is one task. A larger one is cut into classes of set size, so wide that linked sets
     are in the same or the next class, and each class into blocks by hash; a task is a pair of blocks.
     """
-    sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("m"))
-    known = members.join(sizes, "grp")
-    small = known.where(F.col("m") <= block_rows).select("doc_id", "node", F.lit(0).alias("side"), F.concat(F.lit("g"), F.hex("grp")).alias("task"))
+    whole = lambda df: df.select("doc_id", "node", F.lit(0).alias("side"), F.concat(F.lit("g"), F.hex("grp")).alias("task"))
+    sizes = materialize(members.groupBy("grp").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > block_rows), "sizes")
+    n = sizes.count()
+    if not n:
+        return whole(members)
+    large = broadcast_bounded(sizes.select("grp"), n)
+    small = whole(members.join(large, "grp", "left_anti"))
     width = math.log(100 / percent) * 1.0001
-    big = known.where(F.col("m") > block_rows).select("doc_id", "node", "grp", F.floor(F.ln(F.col("n_shingles").cast("double")) / width).alias("cls"))
-    blocks = big.groupBy("grp", "cls").agg(F.ceil(F.count(F.lit(1)) * 2 / block_rows).alias("nb"))
+    big = members.join(large, "grp", "left_semi").select("doc_id", "node", "grp", F.floor(F.ln(F.col("n_shingles").cast("double")) / width).alias("cls"))
+    blocks = materialize(big.groupBy("grp", "cls").agg(F.ceil(F.count(F.lit(1)) * 2 / block_rows).alias("nb")), "blocks")
+    n = blocks.count()
     near = blocks.select("grp", (F.col("cls") - 1).alias("cls"), F.col("nb").alias("above"))
     below = blocks.select("grp", (F.col("cls") + 1).alias("cls"), F.col("nb").alias("below"))
-    own = big.join(blocks, ["grp", "cls"]).join(near, ["grp", "cls"], "left").join(below, ["grp", "cls"], "left")
+    own = big.join(broadcast_bounded(blocks, n), ["grp", "cls"])
+    for side in (near, below):
+        own = own.join(broadcast_bounded(side, n), ["grp", "cls"], "left")
     own = own.withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")))
     span = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>"))
     cell = lambda side, c, i, d, j: F.struct(F.lit(side).alias("side"), F.concat_ws(":", F.hex("grp"), c.cast("string"), i.cast("string"), d.cast("string"), j.cast("string")).alias("task"))
