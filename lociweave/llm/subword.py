@@ -53,18 +53,17 @@ def fit(texts: list[bytes], y: np.ndarray, share: float) -> bytes:
     size = 1 << BITS
     if not len(texts):
         return struct.pack("<d", 0.0) + np.zeros(size, "<f4").tobytes()
-    bags, seen = [], np.zeros(size, dtype=np.int32)
+    rows, totals, seen = [], [], np.zeros(size, dtype=np.int32)
     for t in texts:
         b, n = np.unique(buckets(t), return_counts=True)
         seen[b] += 1
-        bags.append((b, n.astype(np.int32)))
+        rows.append((b, np.minimum(n, 65535).astype(np.uint16)))
+        totals.append(max(int(n.sum()), 1))
     used = seen >= LEAST_DOCUMENTS
-    ids = np.cumsum(used) - 1
-    rows = []
-    for b, n in bags:
+    ids = (np.cumsum(used) - 1).astype(np.int32)
+    for i, (b, n) in enumerate(rows):  # in place, so that one copy of the sample is held
         keep = used[b]
-        rows.append((ids[b[keep]].astype(np.int32), (n[keep] / max(int(n.sum()), 1)).astype(np.float32)))
-    del bags
+        rows[i] = (ids[b[keep]], n[keep])
     kinds = int(used.sum())
     rng = np.random.default_rng(11)
     table = rng.normal(0, 0.1, (kinds, DIMENSION)).astype(np.float32)
@@ -81,7 +80,7 @@ def fit(texts: list[bytes], y: np.ndarray, share: float) -> bytes:
             if not some:
                 continue
             index = np.concatenate([rows[i][0] for i in some])
-            portion = np.concatenate([rows[i][1] for i in some])
+            portion = np.concatenate([rows[i][1] / np.float32(totals[i]) for i in some])
             lens = np.array([len(rows[i][0]) for i in some])
             start = np.concatenate([[0], np.cumsum(lens)[:-1]])
             mean = np.add.reduceat(table[index] * portion[:, None], start, axis=0)
@@ -91,8 +90,8 @@ def fit(texts: list[bytes], y: np.ndarray, share: float) -> bytes:
             p[np.arange(len(some)), y[some]] -= 1
             p *= (weight[some] / len(some))[:, None]
             back = np.repeat(p @ head.T, lens, axis=0) * portion[:, None]
-            hit, inverse = np.unique(index, return_inverse=True)
-            grad = np.stack([np.bincount(inverse, weights=back[:, d], minlength=len(hit)) for d in range(DIMENSION)], axis=1).astype(np.float32)
+            hit = np.flatnonzero(np.bincount(index, minlength=kinds))
+            grad = np.stack([np.bincount(index, weights=back[:, d], minlength=kinds)[hit] for d in range(DIMENSION)], axis=1).astype(np.float32)
             past_table[hit] += (grad * grad).mean(axis=1)
             table[hit] -= step * grad / np.sqrt(past_table[hit])[:, None]
             g = mean.T @ p
