@@ -73,6 +73,30 @@ def test_contexts_start_anew_with_each_text():
     assert got.tolist() == [0, 5, 5 * 256 + 6, 6 * 256 + 7, 0, 8, 0]
 
 
+def test_every_word_is_a_context_and_an_output(spark):
+    """3,000 words beyond the symbols, each always followed by the same other one; direct and joined counts give the same scores."""
+    rng = random.Random(9)
+    follow = list(range(3000))
+    rng.shuffle(follow)
+    often = " ".join(f"h{i} " * (320 - i) for i in range(260))
+    taught = [i for i in range(1000, 1020) if zlib.crc32(str(i).encode()) % 7 != 2]
+    rows = [(taught[0], often), (taught[1], "")]
+    for i in range(600):
+        w = [rng.randrange(3000)]
+        while len(w) < 60:
+            w.append(follow[w[-1]])
+        rows.append((i, " ".join(f"r{x}" for x in w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got, joined, plain = ({r["doc_id"]: r for r in lm.score(docs, direct_words=n, steps=3, word_prior=k).collect()} for n, k in ((100_000, 200.0), (300, 200.0), (100_000, 1e12)))
+    assert all(joined[i]["score"] == pytest.approx(r["score"], rel=1e-5) for i, r in got.items())
+    out = [r for r in got.values() if r["held_out"]]
+    n = sum(r["n_tokens"] for r in out)
+    assert sum(r["score"] - plain[r["doc_id"]]["score"] for r in out) / n > 0.5
+    ends = sum(not r["held_out"] for r in got.values())
+    p = 10 ** plain[taught[1]]["score"]
+    assert got[taught[1]]["score"] == pytest.approx(math.log10((1 + 200 * p) / (ends + 200)), rel=1e-4)
+
+
 def test_lm_edge_cases(spark, odd_docs, clashing, no_docs):
     for docs in (odd_docs, clashing):
         got = lm.score(docs, steps=2).collect()
