@@ -23,11 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from lociweave.llm.common import as_bytes, map_batches, pick_rows
 from lociweave.llm.shingles import mix, shared, shingle_set
 from lociweave.operators.components import connected_components
-from lociweave.plans.runtime import broadcast_bounded, materialize
+from lociweave.plans.runtime import BROADCAST_ROWS, broadcast_bounded, materialize
 
 COORDINATES = 32
 BLOCK_ROWS = 2048
@@ -201,6 +202,11 @@ def _links(docs: DataFrame, dealt: DataFrame, words: int, percent: int, threshol
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordinates: int = COORDINATES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``; see the module's head for the method and edge cases."""
+    return _classes(docs, words, percent, coordinates, block_rows).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _classes(docs: DataFrame, words: int, percent: int, coordinates: int = COORDINATES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """As ``near_duplicates``, with node and component, the node that tells classes apart (null for an empty set)."""
     threshold = match_threshold(percent, coordinates)
     sigs = materialize(signatures(docs, words, coordinates), "sigs")
     full = sigs.where(F.col("n_shingles") > 0)
@@ -214,20 +220,49 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
     rooted = by_node.join(classes, "node", "left").where((F.col("copies") > 1) | F.col("component").isNotNull())
     rooted = rooted.withColumn("component", F.coalesce("component", "node"))
     smallest = rooted.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    naming = rooted.select("node", "component").join(smallest, "component").select("node", "component_id")
+    naming = rooted.select("node", "component").join(smallest, "component").select("node", "component", "component_id")
     out = sigs.select("doc_id", "n_shingles", "node").join(naming, "node", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = out.select("doc_id", "n_shingles", "node", F.coalesce("component", "node").alias("component"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without all but the smallest doc_id of each class; of rows that repeat a kept doc_id one stays."""
-    found = materialize(near_duplicates(docs, words, percent), "classes")
-    out = docs
-    lost = found.where(~F.col("kept")).select("doc_id").distinct()
-    n = lost.count()
+    """The documents without all but the smallest doc_id of each class; of rows with a doc_id that are equal in id and set one stays.
+
+    Rows are told apart by (doc_id, set): other texts under the same id, and rows without an id, are never dropped for the id's sake.
+    """
+    found = materialize(_classes(docs, words, percent), "classes")
+    repeated = materialize(found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated")
+    n = repeated.count()
+    many = F.broadcast(repeated) if n <= BROADCAST_ROWS else repeated
+    lost = found.where(~F.col("kept") & F.col("doc_id").isNotNull()).join(many, "doc_id", "left_anti").select("doc_id")
+    gone = lost.count()
+    nulls = bool(found.where("doc_id is null and not kept").take(1))
+    plain = pick_rows(docs, lost, "left_anti", gone) if gone else docs
+    if not n and not nulls:
+        return plain
     if n:
-        out = pick_rows(docs, lost, "left_anti", n)
-    if found.where("kept").groupBy("doc_id").count().where("count > 1 and doc_id is not null").take(1):
-        out = out.dropDuplicates(["doc_id"])
-    return out
+        plain = pick_rows(plain, repeated, "left_anti", n)
+    mixed = pick_rows(docs, repeated, "left_semi", n)
+    if nulls:
+        plain, mixed = plain.where("doc_id is not null"), mixed.union(docs.where("doc_id is null"))
+    # Of a class whose smallest id is on several sets, one set stands for the class.
+    named = found.where(F.col("doc_id") == F.col("component_id")).groupBy("component").agg(F.min("node").alias("_stands"))
+    verdict = found.where("kept").join(many, "doc_id", "left_semi").where("node is not null").join(named, "component").where("node = _stands").select("doc_id", "node")
+    verdict = verdict.union(found.where("kept and doc_id is not null and node is null").join(many, "doc_id", "left_semi").select("doc_id", "node"))
+    verdict = verdict.union(found.where("kept and doc_id is null").select("doc_id", "node")).distinct().toDF("_id", "_node")
+    keyed = _with_sets(mixed, words)
+    keyed = keyed.join(verdict, keyed["doc_id"].eqNullSafe(verdict["_id"]) & keyed["_set"].eqNullSafe(verdict["_node"]), "left_semi")
+    thinned = keyed.where("doc_id is not null").dropDuplicates(["doc_id", "_set"]).union(keyed.where("doc_id is null"))
+    return plain.union(thinned.select(*docs.columns))
+
+
+def _with_sets(docs: DataFrame, words: int) -> DataFrame:
+    """The documents with the key of their shingle set in ``_set``, null if it is empty."""
+
+    def kernel(batches):
+        for rb in batches:
+            sets = [shingle_set((x or "").encode(), words) for x in rb.column(rb.schema.get_field_index("text")).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*rb.columns, pa.array([node_key(s) if len(s) else None for s in sets], pa.binary())], schema=rb.schema.append(pa.field("_set", pa.binary())))
+
+    return map_batches(docs, kernel, StructType([*docs.schema.fields, StructField("_set", BinaryType())]))

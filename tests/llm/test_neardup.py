@@ -79,6 +79,16 @@ def test_repeated_rows_leave_one(spark):
     assert sorted(r["doc_id"] for r in nd.drop_near_duplicates(docs).collect()) == [3, 5]
 
 
+def test_rows_are_told_apart_by_id_and_set(spark):
+    a, b, c, d = "a b c d e f g", "q w e r t y u", "one two three four five six", "k l m n o p s"
+    rows = [(3, a), (5, a), (5, b), (7, c), (7, c), (None, d), (None, "z x v n m l k"), (None, a), (8, ""), (9, b + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["text"]) for r in nd.drop_near_duplicates(docs).collect()), key=str)
+    assert got == sorted([(3, a), (5, b), (7, c), (None, d), (None, "z x v n m l k"), (8, ""), (9, b + " end")], key=str)
+    plain = spark.createDataFrame([(None, a), (None, b), (7, c), (7, c)], "doc_id long, text string")
+    assert sorted(r["text"] for r in nd.drop_near_duplicates(plain).collect()) == sorted([a, b, c])
+
+
 def test_shingle_hashes_depend_on_words_alone():
     a, b = window_hashes(b"One  two\tthree\nfour", 3), window_hashes(b"one two three four", 3)
     assert (a == b).all() and len(a) == 2
