@@ -1,10 +1,10 @@
 """Mixing to target weights with soft domain membership, in DataFrame operations only.
 
 A multinomial classifier over hashed word endings is counted from a labelled table of (doc_id, domain); its evidence is
-capped at ``evidence_words`` words, so long documents keep soft posteriors. Rates r >= ``min_rate`` are then fitted by
-projected gradient on the weighted squares sum_d (S_d - T_d)^2 / T_d, where S_d = sum_i r_i * tokens_i * p_id is the
-expected token total of domain d and T_d its target: each step is one aggregation of as many sums as there are domains,
-and one column expression that moves and clips every document's rate.
+capped at ``evidence_words`` words, so long documents keep soft posteriors. Rates r >= ``min_rate`` are then the ones nearest
+to the start (least squares, by token) whose expected totals S_d = sum_i r_i * tokens_i * p_id meet the targets T_d. They have the
+form clip(start - sum_d p_id * y_d), so only one y per domain is fitted, by damped Newton steps on the dual; each trial is one
+aggregation of the totals and their derivatives. A ridge of ``RIDGE`` on y makes the optimum unique where no rates meet the targets.
 
 Bounds: the classifier learns from at most ``labelled_rows`` labelled documents (whole texts, chosen by id hash); its
 table has at most ``buckets`` rows. Everything else covers all rows.
@@ -17,19 +17,25 @@ that too. Only ``doc_id`` and ``text`` are read. An empty table gives no rows.
 from __future__ import annotations
 
 import math
+import warnings
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociweave.llm.common import hash_sample, pick_rows
-from lociweave.plans.runtime import BROADCAST_ROWS, drop_staged, materialize
+from lociweave.plans.runtime import BROADCAST_ROWS, materialize
 
 LABELLED_ROWS = 20_000
 BUCKETS = 4096
 EVIDENCE_WORDS = 4
-STEPS = 48
 TOLERANCE = 5e-4
-_REFRESH = 8
+#: A residual of ``RIDGE`` times y stays; below ``STATIONARY`` of the targets, the slope counts as zero.
+RIDGE = 1e-6
+STATIONARY = 1e-5
+#: A guard against endless rounding; a fit that reaches it is reported.
+NEWTON_STEPS = 100
+RAISE = 1.25
 
 
 def _endings(docs: DataFrame, buckets: int) -> DataFrame:
@@ -72,42 +78,73 @@ def domain_posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str],
     return raised.select("doc_id", "tokens", *((F.col(f"e{i}") / whole).alias(f"p{i}") for i in range(k)))
 
 
-def fit_rates(members: DataFrame, targets: list[float], budget: float | None = None, min_rate: float = 0.0, max_rate: float = 16.0, steps: int = STEPS) -> DataFrame:
-    """Adds ``rate`` to doc_id, tokens, p0..: expected domain totals near ``targets`` times ``budget`` (default: all tokens; more if ``min_rate`` needs it).
+def fit_rates(members: DataFrame, targets: list[float], budget: float | None = None, min_rate: float = 0.0, max_rate: float = 16.0) -> DataFrame:
+    """Adds ``rate`` to doc_id, tokens, p0..: expected domain totals are ``targets`` times ``budget`` within ``TOLERANCE``.
 
-    Where no rates within the bounds meet the targets, the least-squares rates stand; with a positive ``min_rate`` the budget is what
-    hard memberships would need, so soft ones can leave a residual.
+    The default budget is all tokens; with a positive ``min_rate`` what hard memberships need, raised by ``RAISE`` until soft ones meet
+    the targets. Where no rates within the bounds meet them, those of the smallest residual stand and a warning tells it.
     """
     k = len(targets)
     start = max(1.0, min_rate)
-    table = materialize(members.withColumn("rate", F.lit(start)), "rates")
-
-    def totals() -> list[float]:
-        row = table.agg(*(F.coalesce(F.sum(F.col("rate") * F.col("tokens") * F.col(f"p{i}")), F.lit(0.0)).alias(f"s{i}") for i in range(k))).first()
-        return [row[f"s{i}"] for i in range(k)]
-
-    now = plain = totals()
-    if not sum(plain):
-        return table
-    if budget is None:
+    table = materialize(members, "rates")
+
+    def shape(y) -> tuple[Column, Column]:
+        free: Column = sum((F.col(f"p{i}") * F.lit(-float(y[i])) for i in range(k)), F.lit(start))
+        return free, F.when(F.col("tokens") > 0, F.least(F.greatest(free, F.lit(float(min_rate))), F.lit(float(max_rate)))).otherwise(F.lit(start))
+
+    def at(y) -> tuple[np.ndarray, np.ndarray, float]:
+        """Totals, their derivatives by -y, and the dual's part that sums over documents."""
+        free, rate = shape(y)
+        whole = table.select("tokens", *(f"p{i}" for i in range(k)), free.alias("f"), rate.alias("r"))
+        inner = F.when((F.col("f") > min_rate) & (F.col("f") < max_rate), F.col("tokens")).otherwise(0)
+        pairs = [(i, j) for i in range(k) for j in range(i, k)]
+        sums = [F.col("r") * F.col("tokens") * F.col(f"p{i}") for i in range(k)] + [inner * F.col(f"p{i}") * F.col(f"p{j}") for i, j in pairs] + [F.col("tokens") * (F.col("r") * F.col("f") - F.col("r") * F.col("r") / 2)]
+        got = [float(x) for x in whole.agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(f"x{n}") for n, c in enumerate(sums))).first()]
+        curve = np.zeros((k, k))
+        for (i, j), x in zip(pairs, got[k:-1], strict=True):
+            curve[i, j] = curve[j, i] = x
+        return np.array(got[:k]), curve, got[-1]
+
+    begin = at(np.zeros(k))
+    plain = begin[0]
+    if not plain.sum():
+        return table.withColumn("rate", F.lit(start))
+
+    def fit(budget: float) -> tuple[float, bool, np.ndarray]:
+        """The largest residual, whether the fit ended at it properly, and y."""
+        goal = np.array(targets) * budget
+        scale = np.maximum(goal, 1e-3 * budget)
+        dual = lambda y, part: part + y @ goal + RIDGE / 2 * (scale * y * y).sum()
+        y, (now, curve, part) = np.zeros(k), begin
+        for _ in range(NEWTON_STEPS):
+            off = np.abs((now - goal) / scale).max()
+            slope = goal - now + RIDGE * scale * y
+            if off < TOLERANCE or np.abs(slope / scale).max() < STATIONARY:
+                return off, True, y
+            move, step = -np.linalg.solve(curve + RIDGE * np.diag(scale), slope), 1.0
+            here = dual(y, part)
+            while True:
+                trial = at(y + step * move)
+                if dual(y + step * move, trial[2]) <= here + 1e-4 * step * (slope @ move) + 1e-12 * abs(here):
+                    break
+                step /= 2
+                if step < 1e-9:
+                    return off, False, y
+            y, (now, curve, part) = y + step * move, trial
+        return np.abs((now - goal) / scale).max(), False, y
+
+    if budget is not None:
+        best = fit(budget)
+    else:
         floor = max((min_rate * p / start / t for p, t in zip(plain, targets, strict=True) if t > 0), default=0)
-        budget = max(sum(plain), floor)
-    goal = [max(t * budget, 1e-9) for t in targets]
-    pace = 1 / max(p / start / g for p, g in zip(plain, goal, strict=True) if p) if any(plain) else 0
-    base, staged = table, table
-    for n in range(1, steps + 1):
-        slope = [s / g - 1 for s, g in zip(now, goal, strict=True)]
-        if max(map(abs, slope)) < TOLERANCE:
-            break
-        move: Column = sum((F.col(f"p{i}") * F.lit(pace * slope[i]) for i in range(1, k)), F.col("p0") * F.lit(pace * slope[0]))
-        base = base.withColumn("rate", F.when(F.col("tokens") > 0, F.least(F.greatest(F.col("rate") - move, F.lit(float(min_rate))), F.lit(float(max_rate)))).otherwise(F.col("rate")))
-        if n % _REFRESH == 0:
-            base = materialize(base, "rates")
-            drop_staged(staged)
-            staged = base
-        table = base
-        now = totals()
-    return base
+        budget = max(plain.sum(), floor)
+        best = fit(budget)
+        while min_rate > 0 and best[0] >= TOLERANCE and budget * RAISE <= max_rate / start * plain.sum():
+            budget *= RAISE
+            best = min(best, fit(budget), key=lambda x: x[0])
+    if best[0] >= TOLERANCE:
+        warnings.warn(f"mixing: totals stay {best[0]:.4g} off their targets at {'the optimum' if best[1] else 'an unfinished fit'}", stacklevel=2)
+    return table.withColumn("rate", shape(best[2])[1])
 
 
 def mix_to_targets(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], min_rate: float = 0.0, max_rate: float = 16.0) -> DataFrame:
