@@ -18,6 +18,17 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like ``wanted`` that ``df`` does not use, in any case of letters."""
+    used, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def remainder(column: str, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus``; a null id gives null."""
     return F.crc32(F.col(column).cast("string")) % modulus

@@ -92,4 +92,4 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {"op6_secret_scan": oracles.SECRET_SCAN, "op10_near_duplicates": oracles.NEAR_DUPLICATES}
+    return {"op4_hilbert_shards": oracles.HILBERT_SHARDS, "op6_secret_scan": oracles.SECRET_SCAN, "op10_near_duplicates": oracles.NEAR_DUPLICATES}
