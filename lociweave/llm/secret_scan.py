@@ -1,10 +1,11 @@
 """Secret scan: fixed patterns plus a sliding-window entropy detector, in DataFrame functions only.
 
 Positions come from splitting a text at its matches: the lengths of pieces and matches before a match add up to its start
-in code points. The entropy detector looks at every run of token characters of at least ``window`` characters. It moves a
-window along the run one character at a time, keeping a count for each character and the sum of ``c*log2(c)`` in
-millionths of a bit, so one step changes two counts and two terms of an integer sum. The run is reported if its best window
-reaches the limit of its character class (hex digits or mixed), unless the allow list names it.
+in code points, by running sums of doubling stride. The entropy detector looks at every run of token characters of at least
+``window`` characters. It moves a window along the run one character at a time, keeping a count for each character and the sum
+of ``c*log2(c)`` in millionths of a bit, so one step changes two counts and two terms of an integer sum. The run is reported if its
+best window reaches the limit of its character class (hex digits or mixed), unless the allow list names it. Cost is linear in the
+length of a run and n log n in the number of matches.
 
 Defined results: a null or empty text has no spans; repeated rows give repeated results; only ``doc_id`` and ``text`` are
 read; an empty table gives no rows.
@@ -41,63 +42,85 @@ def most_weight(bits: float) -> int:
 
 
 _SPANS = "array<struct<start:int,kind:int,stop:int>>"
+#: Counts of ``ALPHABET`` are packed, so many to a long, five bits each.
+_PER_LONG = 12
+_LONGS = -(-len(ALPHABET) // _PER_LONG)
 
 
-def _spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
-    """Spans of the matches of ``pattern``; ``keep`` maps (matches, index) to a condition. Nothing is split unless something matches."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` evaluated once, however often and in whatever loop ``then`` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
-    def walk(found: Column, pieces: Column) -> Column:
-        first = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
 
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(F.get(pieces, i))
-            stop = start + F.length(F.get(found, i))
-            one = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop")))
-            return F.struct(stop.alias("at"), F.concat(acc["out"], one).alias("out"))
+def _running_sums(steps: Column) -> Column:
+    """Prefix sums of an array of ints by doubling strides, so the cost is n log n and no array is grown item by item."""
+
+    def double(sums: Column, level: Column) -> Column:
+        stride = F.pow(F.lit(2), level).cast("int")
+        return F.transform(sums, lambda x, i: x + F.coalesce(F.when(i >= stride, F.get(sums, i - stride)), F.lit(0)))
+
+    return F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(F.size(steps).cast("double"))).cast("int")), steps, double)
+
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), first, step, lambda acc: acc["out"])
+def _spans(text: Column, pattern: str, kind: int, group: int = 0, keep=None) -> Column:
+    """Spans of the matches of ``pattern``; ``keep`` maps a match's ``group`` to a condition. Nothing is split unless something matches."""
 
-    every = walk(found, pieces)
+    def every(found: Column) -> Column:
+        # The step to a match is the match before it and the piece between them.
+        ends = lambda pieces: F.transform(found, lambda m, i: F.length(F.get(pieces, i)) + F.coalesce(F.when(i > 0, F.length(F.get(found, i - 1))), F.lit(0)))
+        starts = _let(_let(F.split(text, pattern, -1), ends), _running_sums)
+        named = lambda at: F.transform(found, lambda m, i: F.struct(F.get(at, i).alias("start"), F.lit(kind).alias("kind"), (F.get(at, i) + F.length(m)).alias("stop")))
+        return _let(starts, named).cast(_SPANS)
+
+    matches = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
+    out = _let(matches(0), every)
     if keep is not None:
-        every = F.filter(F.arrays_zip(every.alias("s"), keep.alias("k")), lambda z: z["k"])
-        every = F.transform(every, lambda z: z["s"])
-    return F.when(text.rlike(pattern), every).otherwise(F.array().cast(_SPANS))
+        out = _let(matches(group), lambda values: F.filter(out, lambda s, i: keep(F.get(values, i))))
+    return F.when(text.rlike(pattern), out).otherwise(F.array().cast(_SPANS))
 
 
 def lowest_weight(run: Column) -> Column:
-    """Smallest sum of terms over all windows of ``run``, by incremental counts."""
+    """Smallest sum of terms over all windows of ``run``, by incremental counts: linear in its length.
+
+    ``n`` packs the count of each character of the alphabet; one step reads and changes the counts of the character that comes and
+    of the one that goes.
+    """
     terms = F.array(*(F.lit(t).cast("long") for t in TERMS))
-    nothing = F.array_repeat(F.lit(0), len(ALPHABET))
-    first = F.struct(nothing.alias("n"), F.lit(0).cast("long").alias("sum"), F.lit(1 << 60).cast("long").alias("best"))
+    zero = F.lit(0).cast("long")
+    begin = F.struct(F.array_repeat(zero, _LONGS).alias("n"), zero.alias("sum"), F.lit(1 << 60).cast("long").alias("best"))
+    place = lambda c: F.struct(c.alias("code"), F.floor(c / _PER_LONG).cast("int").alias("at"), (c % _PER_LONG * 5).cast("int").alias("by"), F.call_function("shiftleft", F.lit(1).cast("long"), (c % _PER_LONG * 5).cast("int")).alias("one"))
+    count = lambda n, c: F.call_function("shiftrightunsigned", F.get(n, c["at"]), c["by"]).bitwiseAND(F.lit(31)).cast("int")
+
+    def best(codes: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            comes, goes = F.get(codes, i), F.get(codes, i - WINDOW)
+            full = i >= WINDOW
+            up, down = count(acc["n"], comes), count(acc["n"], goes)
+            rise = F.get(terms, up + 1) - F.get(terms, up)
+            fall = F.when(full, F.get(terms, down) - F.get(terms, down - 1)).otherwise(zero)
+            same = full & (comes["code"] == goes["code"])
+            total = F.when(same, acc["sum"]).otherwise(acc["sum"] + rise - fall)
+            counts = F.transform(acc["n"], lambda x, j: x + F.when(j == comes["at"], comes["one"]).otherwise(zero) - F.when(full & (j == goes["at"]), goes["one"]).otherwise(zero))
+            return F.struct(counts.alias("n"), total.alias("sum"), F.when(i >= WINDOW - 1, F.least(acc["best"], total)).otherwise(acc["best"]).alias("best"))
 
-    def step(acc: Column, i: Column) -> Column:
-        comes = F.instr(F.lit(ALPHABET), F.substring(run, i, F.lit(1)))
-        goes = F.when(i > WINDOW, F.instr(F.lit(ALPHABET), F.substring(run, i - WINDOW, F.lit(1)))).otherwise(F.lit(0))
-        up = F.get(acc["n"], comes - 1)
-        down = F.get(acc["n"], goes - 1)
-        rise = F.get(terms, up + 1) - F.get(terms, up)
-        fall = F.when(goes > 0, F.get(terms, down) - F.get(terms, down - 1)).otherwise(F.lit(0).cast("long"))
-        total = F.when(comes == goes, acc["sum"]).otherwise(acc["sum"] + rise - fall)
-        counts = F.when(comes == goes, acc["n"]).otherwise(F.transform(acc["n"], lambda c, j: c + F.when(j + 1 == comes, 1).otherwise(0) - F.when(j + 1 == goes, 1).otherwise(0)))
-        return F.struct(counts.alias("n"), total.alias("sum"), F.when(i >= WINDOW, F.least(acc["best"], total)).otherwise(acc["best"]).alias("best"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), begin, step, lambda acc: acc["best"])
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(run)), first, step, lambda acc: acc["best"])
+    return _let(F.transform(F.split(run, ""), lambda c: place(F.instr(F.lit(ALPHABET), c) - 1)), best)
 
 
 def _entropy_spans(text: Column, allow: tuple[str, ...]) -> Column:
     """Reported runs as spans, of the class of each."""
-    runs = F.regexp_extract_all(text, F.lit(RUN), F.lit(0))
 
     def verdict(run: Column) -> Column:
         barred = F.lit(False)
         for p in allow:
             barred = barred | run.rlike(p)
-        most = F.when(run.rlike(HEX_RUN), F.lit(most_weight(LIMIT_BITS["entropy_hex"]))).otherwise(F.lit(most_weight(LIMIT_BITS["entropy_mixed"])))
-        return F.when(barred, F.lit(-1)).when(lowest_weight(run) > most, F.lit(-1)).when(run.rlike(HEX_RUN), F.lit(3)).otherwise(F.lit(4))
+        hexed = run.rlike(HEX_RUN)
+        most = F.when(hexed, F.lit(most_weight(LIMIT_BITS["entropy_hex"]))).otherwise(F.lit(most_weight(LIMIT_BITS["entropy_mixed"])))
+        return F.when(barred, F.lit(-1)).when(lowest_weight(run) > most, F.lit(-1)).when(hexed, F.lit(3)).otherwise(F.lit(4))
 
-    zipped = F.arrays_zip(_spans(text, RUN, 0).alias("s"), F.transform(runs, verdict).alias("v"))
+    runs = F.transform(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), verdict)
+    zipped = F.arrays_zip(_spans(text, RUN, 0).alias("s"), runs.alias("v"))
     kept = F.filter(zipped, lambda z: z["v"] >= 0)
     named = F.transform(kept, lambda z: F.struct(z["s"]["start"].alias("start"), z["v"].alias("kind"), z["s"]["stop"].alias("stop")))
     return F.when(text.rlike(RUN), named).otherwise(F.array().cast(_SPANS))
@@ -106,8 +129,7 @@ def _entropy_spans(text: Column, allow: tuple[str, ...]) -> Column:
 def find_secrets(docs: DataFrame, allow: tuple[str, ...] = ALLOW) -> DataFrame:
     """doc_id, text, base and spans: arrays of (start, kind, stop), ordered by start, kind and stop; kinds index ``KINDS``."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    values = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
-    assign = _spans(text, ASSIGN, 0, F.transform(values, lambda v: F.length(v) >= 8))
+    assign = _spans(text, ASSIGN, 0, 2, lambda value: F.length(value) >= 8)
     base = F.array_sort(F.concat(assign, _spans(text, ACCESS, 1), _spans(text, HEX, 2)))
     found = docs.select("doc_id", "text", base.alias("base"), _entropy_spans(text, allow).alias("more"))
     return found.select("doc_id", "text", "base", F.array_sort(F.concat("base", "more")).alias("spans"))
