@@ -5,12 +5,18 @@ whose Jaccard similarity reaches the threshold agrees on at least ``match_thresh
 below about one in a million, so it must meet in the ``coordinates - match_threshold + 1`` rarest postings of either
 set: only that prefix is joined. Values that nobody shares use up prefix places without being posted at all, which
 skips nearly every document that has no partner. Sets that meet are gathered, through the smallest member of each
-posting, into candidate groups; within a group collisions are counted, pairs at or above the match threshold that are
-not yet connected are confirmed on their full shingle sets, and only a spanning forest leaves the task. Groups beyond
-``block_rows`` are cut by set size and hash into pairs of blocks, so no task holds an unbounded group and no pair is lost.
+posting, into candidate groups; within a group each set is looked up in the postings of its prefix, collisions are counted for
+the sets it meets there, pairs at or above the match threshold that are not yet connected are confirmed on their full shingle
+sets, and only a spanning forest leaves the task. Groups beyond ``block_rows`` are cut by set size and hash into pairs of blocks, so
+no task holds an unbounded group and no pair is lost. The price: a group of G sets of like size is about (2G / block_rows)**2 / 2
+tasks, and each of its sets travels to 2G / block_rows of them.
+
+Sets hold shingles as 64-bit polynomial hashes of their bytes: sizes and similarities are exact but for collisions (odds of about
+n**2 / 2**65 among n distinct shingles of ordinary text; texts built to collide are not guarded against).
 
 Defined results: a null or empty text, or one of only whitespace, has an empty set, links with nothing and is kept.
-Repeated rows and equal texts share one class. A null doc_id never names a class unless all its members are null.
+Repeated rows and equal texts share one class. Rows with a null doc_id are linked, and link others, like any row, but never name a
+class; a class of such rows only has a null component_id and all of them kept.
 Only ``doc_id`` and ``text`` are read, so further columns with any name are harmless. An empty table gives no rows.
 """
 
@@ -25,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from lociweave.llm.common import as_bytes, map_batches, pick_rows
+from lociweave.llm.common import as_bytes, free_names, map_batches, pick_rows
 from lociweave.llm.shingles import mix, shared, shingle_set
 from lociweave.operators.components import connected_components
 from lociweave.plans.runtime import BROADCAST_ROWS, broadcast_bounded, materialize
@@ -33,6 +39,7 @@ from lociweave.plans.runtime import BROADCAST_ROWS, broadcast_bounded, materiali
 COORDINATES = 32
 BLOCK_ROWS = 2048
 SIGMAS = 5.2
+_SENT_NODES = 200_000
 
 
 def match_threshold(percent: int, coordinates: int = COORDINATES) -> int:
@@ -132,11 +139,25 @@ def _dealt(members: DataFrame, percent: int, block_rows: int) -> DataFrame:
     return small.union(cut)
 
 
+def _prefix_rows(sigs: np.ndarray, threshold: int) -> np.ndarray:
+    """For each signature the numbers of its rarest coordinate-value pairs within the block, as many as any match must touch."""
+    number, often, base = np.empty(sigs.shape, dtype=np.int64), [], 0
+    for c in range(sigs.shape[1]):
+        _, place, count = np.unique(sigs[:, c], return_inverse=True, return_counts=True)
+        number[:, c] = place + base
+        often.append(count)
+        base += len(count)
+    # One order of all pairs, rarest first, decides every prefix alike.
+    rank = np.argsort(np.argsort(np.concatenate(often), kind="stable"), kind="stable")[number]
+    return np.sort(rank, axis=1)[:, : sigs.shape[1] - threshold + 1]
+
+
 def confirmed_forest(nodes: list[bytes], sets: list[np.ndarray], sides: np.ndarray, percent: int, threshold: int, coordinates: int = COORDINATES) -> list[tuple[bytes, bytes]]:
     """Links (node, smallest linked node in this task) after confirming pairs on full sets.
 
-    Collisions are counted between each set and all before it; candidates are tried most collisions first, and one that is
-    already connected is passed over, since another link to it would change no class.
+    Each set is looked up in the postings of its prefix, which hold the sets before it; only those it meets there get their
+    collisions counted. Candidates are tried most collisions first, and one that is already connected is passed over, since another
+    link to it would change no class.
     """
     a, b = _permutations(coordinates)
     order = sorted(range(len(nodes)), key=nodes.__getitem__)
@@ -152,13 +173,27 @@ def confirmed_forest(nodes: list[bytes], sets: list[np.ndarray], sides: np.ndarr
             i = parent[i]
         return i
 
-    for i in range(1, len(order)):
-        hits = (sigs[:i] == sigs[i]).sum(axis=1)
-        fit = (hits >= threshold) & (100 * np.minimum(size[:i], size[i]) >= percent * np.maximum(size[:i], size[i]))
+    prefix = _prefix_rows(sigs, threshold) if len(order) else np.empty((0, 0), dtype=np.int64)
+    _, number, posted = np.unique(prefix, return_inverse=True, return_counts=True)
+    begin = np.concatenate([[0], np.cumsum(posted)]).tolist()
+    filled = begin[:-1].copy()
+    postings = np.empty(begin[-1], dtype=np.int32)
+    shared_pairs = [[p for p in row if posted[p] > 1] for row in number.reshape(prefix.shape).tolist()]
+    met = np.zeros(len(order), dtype=bool)
+    for i, mine in enumerate(shared_pairs):
+        met[:i] = False
+        for p in mine:
+            met[postings[begin[p] : filled[p]]] = True
+            postings[filled[p]] = i
+            filled[p] += 1
+        some = np.flatnonzero(met[:i])
+        some = some[100 * np.minimum(size[some], size[i]) >= percent * np.maximum(size[some], size[i])]
         if crossing:
-            fit &= side[:i] != side[i]
-        found = np.flatnonzero(fit)
-        for j in found[np.argsort(-hits[found], kind="stable")].tolist():
+            some = some[side[some] != side[i]]
+        if not len(some):
+            continue
+        hits = (sigs[some] == sigs[i]).sum(axis=1)
+        for j in some[np.argsort(-hits, kind="stable")][: int((hits >= threshold).sum())].tolist():
             p, q = root(i), root(j)
             if p == q:
                 continue
@@ -174,20 +209,38 @@ def _links(docs: DataFrame, dealt: DataFrame, words: int, percent: int, threshol
     wanted = materialize(wanted, "wanted")
     n = wanted.count()
     side = F.broadcast(wanted) if n <= 200_000 else wanted  # about 100 bytes a row
-    texts = as_bytes(docs, F.col("doc_id").cast("long").alias("doc_id")).join(side, "doc_id")
+    every = as_bytes(docs, F.col("doc_id").cast("long").alias("doc_id"))
 
     def rebuild(batches):
+        sent: set[bytes] = set()
         for rb in batches:
             node, sets, keep = [], [], []
-            for i, (raw, key) in enumerate(zip(rb.column("raw"), rb.column("node"), strict=True)):
+            asked = rb.column("node") if "node" in rb.schema.names else None
+            for i, raw in enumerate(rb.column("raw")):
                 s = shingle_set(raw.as_py(), words)
-                if len(s) and node_key(s) == key.as_py():
-                    node.append(key.as_py())
-                    sets.append(s.tobytes())
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(sets, pa.binary()), rb.column("tasks").take(pa.array(keep, pa.int32()))], ["node", "shingles", "tasks"])
-
-    built = map_batches(texts, rebuild, "node binary, shingles binary, tasks array<struct<task:string,side:int>>")
+                if not len(s):
+                    continue
+                key = node_key(s)
+                # Copies of a set leave a task about once, so a key that repeats on many rows is no heavy group.
+                if key in sent or asked is not None and key != asked[i].as_py():
+                    continue
+                sent.add(key)
+                if len(sent) > _SENT_NODES:
+                    sent.clear()
+                node.append(key)
+                sets.append(s.tobytes())
+                keep.append(i)
+            columns, names = [pa.array(node, pa.binary()), pa.array(sets, pa.binary())], ["node", "shingles"]
+            if asked is not None:
+                columns, names = [*columns, rb.column("tasks").take(pa.array(keep, pa.int32()))], [*names, "tasks"]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    tasks = "tasks array<struct<task:string,side:int>>"
+    built = map_batches(every.join(side, "doc_id"), rebuild, f"node binary, shingles binary, {tasks}")
+    if wanted.where("doc_id is null").take(1):
+        # Sets that only rows without an id have: found by the set itself.
+        nameless = map_batches(every.where("doc_id is null").select("raw"), rebuild, "node binary, shingles binary")
+        built = built.union(nameless.join(side.where("doc_id is null").drop("doc_id"), "node").select("node", "shingles", "tasks"))
     built = built.select("node", "shingles", F.explode("tasks").alias("t")).select("node", "shingles", "t.task", "t.side")
 
     def resolve(table: pa.Table) -> pa.Table:
@@ -214,7 +267,7 @@ def _classes(docs: DataFrame, words: int, percent: int, coordinates: int = COORD
     groups = _candidate_groups(sets, coordinates, threshold)
     by_node = full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.min("n_shingles").alias("n_shingles"))
     by_node = materialize(by_node, "nodes")
-    members = by_node.where(F.col("doc_id").isNotNull()).join(groups, "node")
+    members = by_node.join(groups, "node")
     links = _links(docs, _dealt(members, percent, block_rows), words, percent, threshold, coordinates)
     classes = connected_components(links, "hi", "lo")
     rooted = by_node.join(classes, "node", "left").where((F.col("copies") > 1) | F.col("component").isNotNull())
@@ -246,23 +299,24 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) ->
     mixed = pick_rows(docs, repeated, "left_semi", n)
     if nulls:
         plain, mixed = plain.where("doc_id is not null"), mixed.union(docs.where("doc_id is null"))
+    own_id, own_set, key = free_names(docs, "own_id", "own_set", "set_key")
     # Of a class whose smallest id is on several sets, one set stands for the class.
-    named = found.where(F.col("doc_id") == F.col("component_id")).groupBy("component").agg(F.min("node").alias("_stands"))
-    verdict = found.where("kept").join(many, "doc_id", "left_semi").where("node is not null").join(named, "component").where("node = _stands").select("doc_id", "node")
+    named = found.where(F.col("doc_id") == F.col("component_id")).groupBy("component").agg(F.min("node").alias("stands"))
+    verdict = found.where("kept").join(many, "doc_id", "left_semi").where("node is not null").join(named, "component").where("node = stands").select("doc_id", "node")
     verdict = verdict.union(found.where("kept and doc_id is not null and node is null").join(many, "doc_id", "left_semi").select("doc_id", "node"))
-    verdict = verdict.union(found.where("kept and doc_id is null").select("doc_id", "node")).distinct().toDF("_id", "_node")
-    keyed = _with_sets(mixed, words)
-    keyed = keyed.join(verdict, keyed["doc_id"].eqNullSafe(verdict["_id"]) & keyed["_set"].eqNullSafe(verdict["_node"]), "left_semi")
-    thinned = keyed.where("doc_id is not null").dropDuplicates(["doc_id", "_set"]).union(keyed.where("doc_id is null"))
+    verdict = verdict.union(found.where("kept and doc_id is null").select("doc_id", "node")).distinct().toDF(own_id, own_set)
+    keyed = _with_sets(mixed, words, key)
+    keyed = keyed.join(verdict, F.col("doc_id").eqNullSafe(F.col(own_id)) & F.col(key).eqNullSafe(F.col(own_set)), "left_semi")
+    thinned = keyed.where("doc_id is not null").dropDuplicates(["doc_id", key]).union(keyed.where("doc_id is null"))
     return plain.union(thinned.select(*docs.columns))
 
 
-def _with_sets(docs: DataFrame, words: int) -> DataFrame:
-    """The documents with the key of their shingle set in ``_set``, null if it is empty."""
+def _with_sets(docs: DataFrame, words: int, name: str) -> DataFrame:
+    """The documents with the key of their shingle set in the column ``name``, null if it is empty."""
 
     def kernel(batches):
         for rb in batches:
             sets = [shingle_set((x or "").encode(), words) for x in rb.column(rb.schema.get_field_index("text")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*rb.columns, pa.array([node_key(s) if len(s) else None for s in sets], pa.binary())], schema=rb.schema.append(pa.field("_set", pa.binary())))
+            yield pa.RecordBatch.from_arrays([*rb.columns, pa.array([node_key(s) if len(s) else None for s in sets], pa.binary())], schema=rb.schema.append(pa.field(name, pa.binary())))
 
-    return map_batches(docs, kernel, StructType([*docs.schema.fields, StructField("_set", BinaryType())]))
+    return map_batches(docs, kernel, StructType([*docs.schema.fields, StructField(name, BinaryType())]))
