@@ -8,8 +8,9 @@ smaller name; the score is the share of that language if each code length is rea
 
 The trees of all languages share one set of numbered nodes, so scoring is a walk by table lookups over whole batches.
 
-Bounds: trees learn from at most ``rows_per_language`` training documents of each language (whole texts, chosen by id hash)
-and hold at most ``max_nodes`` of the most frequent order-3 entries. All rows are scored over their whole texts.
+Bounds: trees learn from at most ``rows_per_language`` training documents of each language (whole texts, chosen by id hash) and
+hold every entry of these, so their size follows the sample (some 15,000 entries a language here) and the number of
+languages, each of which also has 65,536 values of the shorter contexts. All rows are scored over their whole texts.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, as is every text if nothing could be learned.
 A null doc_id counts as a training row. Rows with a null lang teach nothing. Only doc_id, text and lang are read.
@@ -25,13 +26,12 @@ from pyspark.sql import functions as F
 from lociweave.llm.common import as_bytes, hash_sample, held_out, map_batches
 
 ROWS_PER_LANGUAGE = 400
-MAX_NODES = 400_000
 _PAD = b"\n\n\n"
 _CHUNK = 1 << 20
 
 
-def _counted(sample: DataFrame, max_nodes: int) -> list:
-    """lang, code (three bytes of context and one byte, big-endian) and count, most frequent first."""
+def _counted(sample: DataFrame) -> list[tuple[str, int, int]]:
+    """lang, code (three bytes of context and one byte, big-endian) and count: every entry, so that all orders add up."""
 
     def kernel(batches):
         for rb in batches:
@@ -47,7 +47,8 @@ def _counted(sample: DataFrame, max_nodes: int) -> list:
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(code), pa.string()), "code": pa.array(code), "n": pa.array(n)})
 
     counts = map_batches(sample, kernel, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    return counts.orderBy(F.desc("n"), "lang", "code").limit(max_nodes).collect()
+    found = counts.toArrow()
+    return sorted(zip(*(found[c].to_pylist() for c in ("lang", "code", "n")), strict=True))
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
@@ -146,14 +147,14 @@ class Trees:
         return sums
 
 
-def learn(docs: DataFrame, modulus: int | None = None, kept_back: int | None = None, rows_per_language: int = ROWS_PER_LANGUAGE, max_nodes: int = MAX_NODES) -> Trees:
+def learn(docs: DataFrame, modulus: int | None = None, kept_back: int | None = None, rows_per_language: int = ROWS_PER_LANGUAGE) -> Trees:
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     if modulus is not None:
         known = known.where(~held_out("doc_id", modulus, kept_back))
     langs = [r["lang"] for r in known.select("lang").distinct().collect()]
     ids = hash_sample(known.select("doc_id", "lang"), {x: rows_per_language for x in langs}, "lang")[0].select(F.col("doc_id").alias("id"), F.col("lang").alias("l"))
     sample = known.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("lang") == F.col("l")), "left_semi")
-    return Trees([tuple(r) for r in _counted(as_bytes(sample, "lang"), max_nodes)])
+    return Trees(_counted(as_bytes(sample, "lang")))
 
 
 def identify(docs: DataFrame, trees: Trees) -> DataFrame:
