@@ -57,7 +57,7 @@ def fit(texts: list[bytes], y: np.ndarray, share: float) -> bytes:
     for t in texts:
         b, n = np.unique(buckets(t), return_counts=True)
         seen[b] += 1
-        rows.append((b, np.minimum(n, 65535).astype(np.uint16)))
+        rows.append((b, n.astype(np.uint32)))
         totals.append(max(int(n.sum()), 1))
     used = seen >= LEAST_DOCUMENTS
     ids = (np.cumsum(used) - 1).astype(np.int32)
