@@ -27,8 +27,8 @@ from pyspark.sql.window import Window
 
 from lociweave.plans.runtime import materialize
 
-SHARD_ROWS = 4096
-QUERY_ROWS = 4096
+SHARD_ROWS = 32_768
+QUERY_ROWS = 65_536
 DEGREE = 24
 BUILD_BEAM = 48
 BEAM = 96
@@ -200,7 +200,7 @@ def search(index: DataFrame, shards: int, queries: DataFrame, k: int, width: int
             dim = graph["dim"][0].as_py()
             vectors, asked = _matrix(graph["v"], dim), _matrix(wanted["v"], dim)
             levelled = level_lengths(vectors)
-            edges = np.array(graph["edges"].to_pylist(), dtype=np.int32)
+            edges = graph["edges"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int32).reshape(len(vectors), -1)
             starts = np.flatnonzero(graph["start"].to_numpy(zero_copy_only=False)).astype(np.int32)
             members = graph["ids"].to_pylist()
             lengths = np.sqrt((asked**2).sum(axis=1, keepdims=True))
