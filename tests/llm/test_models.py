@@ -150,6 +150,97 @@ def test_code_lengths_are_exact(spark):
         assert row == pytest.approx([plain.bits(x, t) for x in trees.langs], rel=1e-5, abs=1e-3)
 
 
+def test_trees_hold_every_entry(spark):
+    rng = random.Random(1)
+    docs = spark.createDataFrame([(i, "".join(chr(rng.randrange(32, 120)) for _ in range(3000)), f"l{i % 3}") for i in range(12)], "doc_id long, text string, lang string")
+    got = {(lang, code): n for lang, code, n in ppm._counted(ppm.as_bytes(docs, "lang"))}
+    want = Counter()
+    for r in docs.collect():
+        a = b"\n\n\n" + r["text"].lower().encode()
+        want.update((r["lang"], int.from_bytes(a[i - 3 : i + 1], "big")) for i in range(3, len(a)))
+    assert got == want
+
+
+def test_language_ties_and_repeats(spark):
+    docs = spark.createDataFrame([(1, "abc abc", "xx"), (2, "abc abc", "aa"), (3, "abc", None), (3, "abc", None)], "doc_id long, text string, lang string")
+    got = ppm.identify(docs, ppm.learn(docs)).collect()
+    assert {r["lang_pred"] for r in got} == {"aa"} and all(r["score"] == pytest.approx(0.5) for r in got)
+    assert len({tuple(r) for r in got if r["doc_id"] == 3}) == 1
+
+
+def plain_toxic_odds(odds, bias, raw):
+    """Mean of the folded weights of the n-grams inside words, by loops over positions."""
+    mask = (1 << 64) - 1
+    t = b" " + b" ".join(raw.lower().split()) + b" "
+    z = []
+    for n in subword.ORDERS:
+        for i in range(len(t) - n + 1):
+            g = t[i : i + n]
+            if b" " not in g[1:-1]:
+                x = int.from_bytes(g, "little")
+                z.append(odds[((((x * 0xC2B2AE3D27D4EB4F) & mask) ^ (x >> 29)) * 0x9E3779B97F4A7C15 & mask) >> (64 - subword.BITS)])
+    return bias + (math.fsum(z) / len(z) if z else 0.0)
+
+
+def plain_quality_margin(w, ratio, raw):
+    mask, rows = (1 << 64) - 1, set()
+    for n in nbsvm.ORDERS:
+        for i in range(len(raw) - n + 1):
+            rows.add(((int.from_bytes(raw[i : i + n], "little") + (n << 40)) * 0x9E3779B97F4A7C15 & mask) >> (64 - nbsvm.BITS))
+    rows = sorted(rows)
+    norm = math.sqrt(math.fsum(float(ratio[r]) ** 2 for r in rows))
+    return math.fsum(float(w[r]) * float(ratio[r]) for r in rows) / max(norm, 1e-12) + float(w[-1]) if rows else 0.0
+
+
+def test_scores_against_plain_loops(spark, made):
+    rows, docs, labels = made
+    odd = [b"", b"a", b"ab c", b"The  und\tWalking", "über %%% \U0001f600".encode(), b"xyz " * 400]
+    raws = [r[1].encode() for r in rows[:25]] + odd
+    sample, share = labelled_sample(docs, labels, "toxic", F.lit(True), subword.TRAIN_ROWS)
+    blob = fit_in_one_task(sample, subword.fit, share)
+    bias, odds = np.frombuffer(blob, "<f8", 1)[0], np.frombuffer(blob, "<f4", 1 << subword.BITS, 8)
+    got = subword.load(blob)(raws + raws)
+    want = [1 / (1 + math.exp(-plain_toxic_odds(odds, bias, t))) for t in raws]
+    assert got[: len(raws)] == pytest.approx(want, abs=1e-9) and (got[: len(raws)] == got[len(raws) :]).all()
+    sample, share = labelled_sample(docs, labels, "quality", F.lit(True), nbsvm.TRAIN_ROWS)
+    blob = fit_in_one_task(sample, nbsvm.fit, share)
+    slope, offset = np.frombuffer(blob, "<f8", 2)
+    w, ratio = np.frombuffer(blob, "<f4", (1 << nbsvm.BITS) + 1, 16), np.frombuffer(blob, "<f4", 1 << nbsvm.BITS, 16 + 4 * ((1 << nbsvm.BITS) + 1))
+    got = nbsvm.load(blob)(raws + raws)
+    want = [1 / (1 + math.exp(-(slope * plain_quality_margin(w, ratio, t) + offset))) for t in raws]
+    assert got[: len(raws)] == pytest.approx(want, abs=1e-6) and (got[: len(raws)] == got[len(raws) :]).all()
+
+
+def test_log_count_ratios_against_plain_counts(spark, made):
+    rows, docs, labels = made
+    texts_, y = [r[1].encode() for r in rows], np.array([r[5] for r in rows])
+    ratio = np.frombuffer(nbsvm.fit(texts_, y, 0.5), "<f4", 1 << nbsvm.BITS, 16 + 4 * ((1 << nbsvm.BITS) + 1))
+    held = [{t[i : i + 3] for i in range(len(t) - 2)} for t in texts_]
+    for g in (b"%%%", b"the", b" un", b"ehe"):
+        at = ((int.from_bytes(g, "little") + (3 << 40)) * 0x9E3779B97F4A7C15 & ((1 << 64) - 1)) >> (64 - nbsvm.BITS)
+        n = [sum(g in h for h, v in zip(held, y, strict=True) if v == c) for c in (0, 1)]
+        want = math.log((n[1] + 1) / ((y == 1).sum() + 2)) - math.log((n[0] + 1) / ((y == 0).sum() + 2))
+        assert ratio[at] == pytest.approx(want, abs=1e-5)
+
+
+def test_descent_reaches_the_dual_optimum():
+    """On a small problem the primal and dual values of the hinge loss meet."""
+    rng = np.random.default_rng(2)
+    rows = [np.sort(rng.choice(40, 6, replace=False)) for _ in range(80)]
+    values = [v / np.sqrt((v * v).sum()) for v in rng.normal(size=(80, 6))]
+    sign, cost = rng.choice([-1, 1], 80), np.full(80, 0.7)
+    w = nbsvm.descend(rows, values, sign, cost, epochs=4000)
+    margin = np.array([w[r] @ v + w[-1] for r, v in zip(rows, values, strict=True)])
+    primal = (w @ w) / 2 + (cost * np.maximum(0, 1 - sign * margin)).sum()
+    better = [np.random.default_rng(s).normal(scale=1e-3, size=41) for s in range(200)]
+    for d in better:
+        u = w.copy()
+        u[:40] += d[:40]
+        u[-1] += d[40]
+        m = np.array([u[r] @ v + u[-1] for r, v in zip(rows, values, strict=True)])
+        assert (u @ u) / 2 + (cost * np.maximum(0, 1 - sign * m)).sum() >= primal - 1e-3
+
+
 def test_language(spark, made, odd_docs, clashing, no_docs):
     rows, docs, _ = made
     trees = ppm.learn(docs, 4, 2)

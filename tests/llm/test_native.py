@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -63,6 +64,19 @@ def test_secret_edge_cases(odd_docs, clashing, no_docs):
     assert ss.find_secrets(no_docs).count() == 0
 
 
+def test_long_runs_and_many_matches_take_linear_time(spark):
+    rng = random.Random(3)
+    run = "".join(rng.choice(ss.ALPHABET) for _ in range(1_000_000))
+    many = "".join(f"{'.' * (i % 3)} token={i:08d} " for i in range(100_000))
+    docs = spark.createDataFrame([(1, run), (2, many)], "doc_id long, text string").coalesce(1)
+    began = time.time()
+    got = {r["doc_id"]: r for r in ss.find_secrets(docs).select("doc_id", F.col("base"), F.col("spans")).collect()}
+    took = time.time() - began
+    assert [tuple(x) for x in got[1]["spans"] if x["kind"] == 4] == [(0, 4, 1_000_000)]
+    assert [tuple(x) for x in got[2]["base"]] == [(m.start(), 0, m.end()) for m in ASSIGN.finditer(many)]
+    assert took < 60
+
+
 def test_curve_is_a_bijection_with_unit_steps(spark):
     for dims, bits in ((2, 3), (3, 2)):
         names = [f"d{i}" for i in range(dims)]
@@ -101,9 +115,27 @@ def test_shard_edge_cases(odd_docs, clashing, no_docs):
     for docs in (odd_docs, clashing):
         got = hilbert.hilbert_shards(docs)
         assert got.count() == 12 and set(docs.columns) <= set(got.columns) and len(set(got.columns)) == len(got.columns)
+        own = [c for c in docs.columns if c not in ("size", "shard", "slot", "curve")]
+        assert Counter(map(tuple, got.select(*own).collect())) == Counter(map(tuple, docs.select(*own).collect()))
     assert hilbert.hilbert_shards(no_docs).count() == 0 and hilbert.hilbert_shards(no_docs, keep_columns=False).count() == 0
 
 
+def test_readers_skip_shards(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, "w " * rng.randrange(1, 200), rng.choice(["de", "en", "fr", "it", None]), f"s{rng.randrange(6)}", 1) for i in range(3000)]
+    sharded = hilbert.hilbert_shards(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    manifest = hilbert.shard_manifest(sharded, ["lang", "source", "size"])
+    hilbert.write_shards(sharded, f"{tmp_path}/shards")
+    stored = spark.read.parquet(f"{tmp_path}/shards")
+    for ranges in ({"lang": ("fr", "fr")}, {"lang": ("de", "en"), "size": (1, 60)}):
+        need = [r["shard"] for r in hilbert.needed_shards(manifest, ranges).collect()]
+        wanted = lambda df, ranges=ranges: df.where(" and ".join(f"{c} between {a!r} and {b!r}" for c, (a, b) in ranges.items())).count()
+        some = stored.where(F.col("shard").isin(need))
+        assert 0 < wanted(some) == wanted(stored)
+        assert len(some.inputFiles()) == 16 and len(need) <= 12  # files listed; the scan opens those of the needed folders
+        assert "PartitionFilters: [" in some._jdf.queryExecution().toString()
+
+
 def plain_rates(members, targets, budget, low, high, steps=4000):
     """Projected gradient on the same objective with lists."""
     r = [max(1.0, low)] * len(members)
@@ -156,11 +188,57 @@ def test_mixing_end_to_end(spark, odd_docs, clashing, no_docs):
         m = mixing.mix_to_targets(odd, labels, {"ok": 0.5, "bad": 0.5}, min_rate=1.0)
         assert m.count() == 11 and {r["doc_id"] for r in mixing.apply_mix(odd, m).select("doc_id").distinct().collect()} == {r["doc_id"] for r in odd.select("doc_id").distinct().collect()}
         assert mixing.apply_mix(odd, m).columns == odd.columns
+    named = docs.select("*", *(F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in ("times", "serial", "_copies", "_i", "copies")))
+    out = mixing.apply_mix(named, mixing.mix_to_targets(docs, labels, {"ok": 0.5, "bad": 0.5}))
+    assert out.columns == named.columns and all(r[c] == f"{c}{r['doc_id']}" for r in out.collect() for c in named.columns[2:])
     assert mixing.mix_to_targets(no_docs, labels, {"ok": 0.5, "bad": 0.5}).count() == 0
     none = labels.where("false")
     assert {r["rate"] for r in mixing.mix_to_targets(odd_docs, none, {"ok": 1.0}).collect()} == {1.0}
 
 
+def test_posteriors_against_plain_counts(spark):
+    """Posteriors by the definition, under the fitted weight of evidence; the fitted weight beats plain sums on labels that taught nothing."""
+    rng = random.Random(7)
+    words = {"a": ["aab", "ccd", "eef"], "b": ["ggh", "ccd", "iij"]}
+    rows, truth = [], []
+    for i in range(160):
+        d = rng.choice("ab")
+        mostly = words[d] if rng.random() < 0.8 else words["ab".replace(d, "")]
+        rows.append((i, " ".join([rng.choice(mostly)] * rng.randrange(0, 40))))  # one word over and over: far from independent
+        truth.append((i, d))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(truth, "doc_id long, domain string")
+    chosen, endings = mixing._known_endings(docs, labels, ["a", "b"], 1000, 64)
+    part = {r["doc_id"]: r["part"] for r in chosen.collect()}
+    weights, priors, floor = mixing._classifier(chosen, endings, ["a", "b"], 64)
+    scale, damp = mixing._calibrated(chosen, endings, weights, ["a", "b"], priors, floor)
+    bucket = {r["w"]: r["b"] for r in spark.createDataFrame([(w,) for w in {x[-2:] for v in words.values() for x in v}], "w string").select("w", F.pmod(F.xxhash64("w"), F.lit(64)).alias("b")).collect()}
+    counts = {"a": Counter(), "b": Counter()}
+    for (i, t), (_, d) in zip(rows, truth, strict=True):
+        if part[i] < 3:
+            counts[d].update(bucket[w[-2:]] for w in t.split())
+    like = {d: lambda x, c=c: math.log((c[x] + 1) / (c.total() + 64)) for d, c in counts.items()}
+    prior = {d: math.log((sum(x[1] == d for x in truth) + 1) / 162) for d in "ab"}
+
+    def posterior(t, scale, damp):
+        n = len(t.split())
+        s = {d: prior[d] + scale * max(n, 1) ** -damp * sum(like[d](bucket[w[-2:]]) for w in t.split()) for d in "ab"}
+        return 1 / (1 + math.exp(min(s["b"] - s["a"], 700.0)))
+
+    got = {r["doc_id"]: r for r in mixing.domain_posteriors(docs, labels, ["a", "b"], 1000, 64).collect()}
+    for i, t in rows:
+        assert got[i]["tokens"] == len(t.split()) and got[i]["p0"] == pytest.approx(posterior(t, scale, damp), abs=1e-9) and got[i]["p0"] + got[i]["p1"] == pytest.approx(1)
+    loss = lambda scale, damp: -sum(math.log(max(p if d == "a" else 1 - p, 1e-300)) for (i, t), (_, d) in zip(rows, truth, strict=True) if part[i] == 3 and t for p in [posterior(t, scale, damp)])
+    assert loss(scale, damp) == pytest.approx(min(loss(*g) for g in mixing.GRID)) and loss(scale, damp) < loss(1.0, 0.0)
+
+
+def test_report_tells_shares_and_residuals(spark):
+    df = spark.createDataFrame([(1, 10, 1.0, 0.0, 2.0), (2, 10, 0.0, 1.0, 1.0)], "doc_id long, tokens long, p0 double, p1 double, rate double")
+    got = {r["domain"]: r for r in mixing.mix_report(df, {"x": 1.0, "y": 1.0}).collect()}
+    assert got["x"]["share"] == pytest.approx(2 / 3) and got["x"]["residual"] == pytest.approx(1 / 3) and got["y"]["target"] == 0.5
+    assert mixing.mix_report(df.where("false"), {"x": 1.0}).first()["share"] is None
+
+
 def plain_leaks(docs, items, k=5, percent=80):
     out = {}
     for i, t in docs:
@@ -225,15 +303,29 @@ def test_leak_edge_cases(spark, odd_docs, clashing, no_docs):
     assert dc.contaminated(no_docs, items).count() == 0
 
 
-def test_hamming_lookup_is_complete():
+def test_hamming_lookup_is_complete_and_selective():
     import numpy as np
 
-    rng = random.Random(4)
-    stored = np.array([rng.getrandbits(64) for _ in range(400)], dtype=np.uint64)
-    index = dc.Hamming(stored, 20)
+    rng = np.random.default_rng(4)
+    stored = rng.integers(0, 1 << 64, (400, dc.BITS // 64), dtype=np.uint64)
+    index = dc.Hamming(stored)
+    looked = 0
     for _ in range(60):
-        x = int(stored[rng.randrange(400)])
-        for bit in rng.sample(range(64), rng.randrange(0, 24)):
-            x ^= 1 << bit
-        want = [i for i, s in enumerate(stored.tolist()) if (s ^ x).bit_count() <= 20]
-        assert index.within(np.uint64(x)).tolist() == want
+        bits = np.unpackbits(stored[rng.integers(400)].view(np.uint8), bitorder="little")
+        bits[rng.choice(dc.BITS, rng.integers(0, 80), replace=False)] ^= 1
+        x = np.packbits(bits, bitorder="little").view(np.uint64)
+        want = np.flatnonzero(np.bitwise_count(stored ^ x).sum(axis=1) <= dc.RADIUS)
+        assert index.within(x).tolist() == want.tolist()
+        looked += len(index.candidates(x))
+    assert looked < 0.2 * 60 * 400
+
+
+def test_long_items_whose_copies_end_in_repeats():
+    rng = random.Random(2)
+    for n in (100, 200, 450):
+        words = [f"q{rng.randrange(400)}".encode() for _ in range(n)]
+        items = dc.Items([(1, b" ".join(words))])
+        changed = words[: -(n // 12)] + [b"again"] * (n // 12)
+        found = dc.matches(items, [b"before"] * 7 + changed)
+        want = plain_leaks([(0, (b"before " * 7 + b" ".join(changed)).decode())], [(1, b" ".join(words).decode())])
+        assert [x[1] for x in found] == pytest.approx(list(want.values())) and len(found) == 1

@@ -89,6 +89,38 @@ def test_rows_are_told_apart_by_id_and_set(spark):
     assert sorted(r["text"] for r in nd.drop_near_duplicates(plain).collect()) == sorted([a, b, c])
 
 
+@pytest.mark.parametrize("block_rows", [2048, 8])
+def test_rows_without_an_id_link_and_bridge(spark, block_rows):
+    """Every third row loses its id: links and classes stay those of brute force over rows."""
+    rows = corpus(77, 140)
+    named = [(None if i % 3 == 0 else d, t) for i, (d, t) in enumerate(rows)] + [(None, rows[0][1])] * 3
+    docs = spark.createDataFrame(named, "doc_id long, text string")
+    whole = brute(list(enumerate(t for _, t in named)), 3, 85)
+    least = {}
+    for i, (d, _) in enumerate(named):
+        if d is not None:
+            c = whole[i][1]
+            least[c] = min(least.get(c, d), d)
+    want = sorted((str(d), whole[i][0], str(least.get(whole[i][1])), d == least.get(whole[i][1])) for i, (d, _) in enumerate(named))
+    got = nd.near_duplicates(docs, 3, 85, block_rows=block_rows).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"]), r["kept"]) for r in got) == want
+    w = [f"x{i}" for i in range(40)]
+    chain = [(1, " ".join(w)), (None, " ".join(w[2:] + ["p", "q"])), (9, " ".join(w[4:] + ["p", "q", "r", "s"]))]
+    linked = {r["doc_id"]: r["component_id"] for r in nd.near_duplicates(spark.createDataFrame(chain, "doc_id long, text string"), 3, 85).collect()}
+    assert linked == {1: 1, None: 1, 9: 1} and brute([c for c in chain if c[0]], 3, 85)[9][1] == 9
+
+
+def test_prefixes_meet_every_match():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 50, (60, 32))
+    sigs = np.where(rng.random((60, 32)) < 0.4, base[:1], base)
+    for threshold in (8, 16):
+        prefix = nd._prefix_rows(sigs, threshold)
+        hits = (sigs[:, None] == sigs[None]).sum(axis=2)
+        met = np.array([[bool(set(a) & set(b)) for b in prefix.tolist()] for a in prefix.tolist()])
+        assert prefix.shape[1] == 32 - threshold + 1 and met[hits >= threshold].all() and not met.all()
+
+
 def test_shingle_hashes_depend_on_words_alone():
     a, b = window_hashes(b"One  two\tthree\nfour", 3), window_hashes(b"one two three four", 3)
     assert (a == b).all() and len(a) == 2

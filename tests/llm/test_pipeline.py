@@ -7,6 +7,8 @@ from collections import Counter
 
 import pytest
 
+import duckdb
+
 import corpus_pipeline as cp
 from lociweave.llm.queries import llm_oracle_sql, llm_queries
 
@@ -104,3 +106,36 @@ def test_run_and_queries(spark, folder):
         df = query(spark, root)
         n = df.count()
         assert n == {"op3_graph_ann": 60, "op7_benchmark_leaks": n}.get(name, len(docs)), name
+
+
+@pytest.mark.parametrize("name", sorted(llm_oracle_sql()))
+def test_query_against_sql(spark, folder, name):
+    root = folder[0]
+    got = llm_queries()[name](spark, root)
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{root}/documents.parquet/*.parquet'")
+    want = db.execute(llm_oracle_sql()[name])
+    names = sorted(d[0] for d in want.description)
+    assert names == sorted(got.columns)
+    order = [[d[0] for d in want.description].index(c) for c in names]
+    assert sorted(map(str, (tuple(r) for r in got.select(*names).collect()))) == sorted(str(tuple(r[i] for i in order)) for r in want.fetchall())
+
+
+def test_run_over_odd_tables(spark, folder, clashing, no_docs, tmp_path_factory):
+    """Nulls, empty texts, repeated and missing ids and clashing columns go through every stage; so does an empty table."""
+    source = folder[0]
+    for docs in (clashing, no_docs):
+        root = str(tmp_path_factory.mktemp("odd"))
+        docs.write.parquet(f"{root}/documents.parquet")
+        for t in ("labels", "benchmark"):
+            spark.read.parquet(f"{source}/{t}.parquet").write.parquet(f"{root}/{t}.parquet")
+        df = spark.read.parquet(f"{root}/documents.parquet")
+        for _, stage in cp.STAGES[:-1]:
+            df = stage(spark, df, root)
+            assert df.columns == docs.columns
+        out = cp.run(spark, root).collect()
+        assert {r["doc_id"] for r in out} <= {r["doc_id"] for r in docs.select("doc_id").collect()} and (len(out) > 0) == (docs is clashing)
+        if docs is clashing:
+            # Copies of 1 and 5 go, the row without an id, the empty ones and all other texts stay.
+            assert {1, 2, 3, 4, 5, 7, 8, 10, None} == {r["doc_id"] for r in out}
+            assert all(r["_u"] == "keep" and r["raw"] == "keep" for r in out)
