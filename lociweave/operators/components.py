@@ -1,4 +1,4 @@
-"""Connected components: edges contracted within tasks, then alternating large-star and small-star rounds."""
+"""Connected components: edges contracted within tasks, then in one task if few are left, else by alternating large-star and small-star rounds."""
 
 from __future__ import annotations
 
@@ -10,7 +10,9 @@ from lociweave.plans.runtime import drop_staged, materialize
 
 #: Edges (of two keys of up to 16 bytes) up to which the minima of a round are broadcast: some ten megabytes.
 _BROADCAST_EDGES = 200_000
-_CHUNK_NODES = 500_000
+#: Edges that one task takes whole: their nodes, of up to 16 bytes, fill some hundred megabytes at most.
+_TASK_EDGES = 300_000
+_CHUNK_NODES = 2 * _TASK_EDGES
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -59,17 +61,21 @@ def _contracted(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(kernel, edges.schema)
 
 
-def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 60, task_edges: int = _TASK_EDGES) -> DataFrame:
     """Label every node that has an edge with the smallest node it can reach.
 
     Returns ``node, component``. Self loops, repeated edges and rows with a null end add nothing. The edges are
-    first contracted within each task, then rewritten into stars; a round costs two shuffles of at most the number of edges, and the number of rounds grows
+    first contracted within each task. Where at most ``task_edges`` are left, one task finishes them; more are rewritten into stars: a round costs two shuffles of at most the number of edges, and the number of rounds grows
     with the logarithm of the longest path. Each round's minimum is pre-aggregated, so a star with a huge centre
     is split by the adaptive skew join and never lands in one task. Stops when a round changes nothing.
     """
     ends = edges.select(F.greatest(src, dst).alias("hi"), F.least(src, dst).alias("lo")).where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col("hi") != F.col("lo")))
     now = materialize(_contracted(ends).distinct(), "cc")
     seen = _fingerprint(now)
+    if 0 < seen[0] <= task_edges:
+        whole = materialize(_contracted(now.coalesce(1)), "cc")  # stars over the least nodes, which nothing could change
+        drop_staged(now)
+        now, seen = whole, (0, None)
     for _ in range(max_rounds):
         if not seen[0]:
             break

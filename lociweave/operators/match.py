@@ -27,22 +27,28 @@ def _self(condition: Column, unordered: bool) -> Column:
     return condition & (F.col("src_a") < F.col("src_b")) if unordered else condition
 
 
-def interval_pairs(a: DataFrame, b: DataFrame, options: MatchOptions, unordered: bool = False) -> DataFrame:
-    """Pairs of DEL, DUP or INV at or above the threshold.
+def interval_keys(a: DataFrame, t: float) -> DataFrame:
+    """The intervals of ``a``, repeated over every (size_bin, tile) where a partner at threshold ``t`` can start.
 
     Either metric is at most min/max of the two lengths, so a partner's length lies within [t*len, len/t]; and its start lies
-    within [pos - (1-t)*len/t, pos + (1-t)*len]. Both ranges, widened by one, give the size classes and tiles to visit.
+    within [pos - (1-t)*len/t, pos + (1-t)*len]. Both ranges, widened by one, give the size classes and tiles to visit; a class holds
+    no partner that starts more than its greatest length before the record, so the keys of a record grow with 1/t, not with its square.
     """
-    t = options.threshold
     length = (F.col("end_pos") - F.col("pos")).cast("double")
     left = a.where(F.col("svtype").isin(*INTERVAL_TYPES) & (F.col("end_pos") > F.col("pos")))
     left = left.select(F.col("src_index").alias("src_a"), "chrom", "svtype", F.col("pos").alias("pos_a"), F.col("end_pos").alias("end_a"), length.alias("_len"))
     first, last = size_bin(F.floor(F.col("_len") * t)), size_bin(F.ceil(F.col("_len") / t))
     left = left.withColumn("size_bin", F.explode(F.sequence(first, last)))
     width = _tile_width(F.col("size_bin"))
-    low = F.floor((F.col("pos_a") - F.col("_len") * ((1 - t) / t) - 1) / width)
+    low = F.floor((F.col("pos_a") - F.least(F.col("_len") * ((1 - t) / t), width.cast("double")) - 1) / width)
     high = F.floor((F.col("pos_a") + F.col("_len") * (1 - t) + 1) / width)
-    left = left.withColumn("tile", F.explode(F.sequence(low, high))).drop("_len")
+    return left.withColumn("tile", F.explode(F.sequence(low, high))).drop("_len")
+
+
+def interval_pairs(a: DataFrame, b: DataFrame, options: MatchOptions, unordered: bool = False) -> DataFrame:
+    """Pairs of DEL, DUP or INV at or above the threshold."""
+    t = options.threshold
+    left = interval_keys(a, t)
     right = b.where(F.col("svtype").isin(*INTERVAL_TYPES) & (F.col("end_pos") > F.col("pos")))
     right = right.select(F.col("src_index").alias("src_b"), "chrom", "svtype", F.col("pos").alias("pos_b"), F.col("end_pos").alias("end_b"), size_bin(F.col("end_pos") - F.col("pos")).alias("size_bin"))
     right = right.withColumn("tile", F.floor(F.col("pos_b") / _tile_width(F.col("size_bin"))))
