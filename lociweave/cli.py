@@ -12,6 +12,7 @@ from pyspark.sql import SparkSession
 
 from lociweave import __version__, commands
 from lociweave.options import ClusterOptions, MatchOptions, name_list, parse_priority
+from lociweave.plans.runtime import drop_all_staged
 
 
 def chunk_size(text: str) -> int:
@@ -43,6 +44,7 @@ def _shared(p: argparse.ArgumentParser) -> None:
     p.add_argument("--chrs")
     p.add_argument("--chr-set")
     p.add_argument("--chunk-size", type=chunk_size, default=50_000_000, help="accepted; joins are tiled by size class")
+    p.add_argument("--require-index", action="store_true", help="stop if an input has no .csi or .tbi beside it")
     p.add_argument("-v", "--verbose", action="store_true")
 
 
@@ -121,23 +123,27 @@ def main(argv: list[str] | None = None) -> int:
         if args.command == "match":
             if len(args.inputs) != (1 if args.own else 2):
                 raise ValueError("match takes two inputs, or one with --self")
-            commands.run_match(session(args), args.inputs[0], None if args.own else args.inputs[1], args.output, options, name_list(args.info, "--info"), args.verbose)
+            commands.run_match(session(args), args.inputs[0], None if args.own else args.inputs[1], args.output, options, name_list(args.info, "--info"), args.verbose, args.require_index)
         elif args.command == "anno":
-            commands.run_annotate(session(args), *args.inputs, args.expressions, args.output, options, args.overwrite, args.write_index, args.verbose)
+            commands.run_annotate(session(args), *args.inputs, args.expressions, args.output, options, args.overwrite, args.write_index, args.verbose, args.require_index)
         elif args.command in ("intersect", "setdiff"):
-            commands.run_setop(session(args), args.command, *args.inputs, args.output, options, args.write_index, args.verbose)
+            commands.run_setop(session(args), args.command, *args.inputs, args.output, options, args.write_index, args.verbose, args.require_index)
         else:
             chosen = ClusterOptions(args.linkage, args.priority, options)
             info, formats = name_list(args.info, "--info"), [] if args.format == "" else name_list(args.format, "--format")
             if args.command == "collapse":
-                commands.run_collapse(session(args), args.inputs, args.output, chosen, info, formats, args.write_index, command, args.verbose)
+                commands.run_collapse(session(args), args.inputs, args.output, chosen, info, formats, args.write_index, command, args.verbose, index_needed=args.require_index)
             else:
                 if any(re.match(r"[^:/]+:(?!//)", x) for x in args.inputs):
                     raise ValueError("merge takes plain paths; samples are named by their headers")
-                commands.run_merge(session(args), args.inputs, args.output, chosen, info, formats, args.missing_to_ref, args.write_index, command, args.verbose)
+                commands.run_merge(session(args), args.inputs, args.output, chosen, info, formats, args.missing_to_ref, args.write_index, command, args.verbose, index_needed=args.require_index)
     except (ValueError, FileNotFoundError) as e:
         print(f"lociweave: {e}", file=sys.stderr)
         return 1
+    finally:
+        active = SparkSession.getActiveSession()
+        if active is not None:
+            drop_all_staged(active)
     return 0
 
 

@@ -13,7 +13,7 @@ from lociweave.functions.normalize import info_text, kept_info, skip_statistics,
 from lociweave.functions.similarity import signed_svlen
 from lociweave.operators import annotate as an
 from lociweave.operators import setops
-from lociweave.operators.cluster import large_components, unique_edges
+from lociweave.operators.cluster import component_report
 from lociweave.operators.collapse import collapse
 from lociweave.operators.match import active, match, match_self, resolved
 from lociweave.operators.merge import alternate, called, merge
@@ -38,10 +38,10 @@ def _summary(df: DataFrame, verbose: bool) -> None:
             log.info("input %d: %s %d", r["caller_idx"], r["reason"], r["n"])
 
 
-def run_match(spark: SparkSession, a: str, b: str | None, output: str = "-", options: MatchOptions = MatchOptions(), info: list[str] | None = None, verbose: bool = False) -> int:
+def run_match(spark: SparkSession, a: str, b: str | None, output: str = "-", options: MatchOptions = MatchOptions(), info: list[str] | None = None, verbose: bool = False, index_needed: bool = False) -> int:
     """Pairs of two files, or of one with itself if ``b`` is None, as TSV. Returns the number of pairs."""
-    left, header = read_callset(spark, a, 0, chr_set=options.chr_set)
-    right, header_b = (left, header) if b is None else read_callset(spark, b, 1, chr_set=options.chr_set)
+    left, header = read_callset(spark, a, 0, chr_set=options.chr_set, index_needed=index_needed)
+    right, header_b = (left, header) if b is None else read_callset(spark, b, 1, chr_set=options.chr_set, index_needed=index_needed)
     _warn_missing(options, {*header.contigs, *header_b.contigs})
     _summary(left, verbose)
     pairs = match_self(left, options) if b is None else match(left, right, options)
@@ -54,11 +54,11 @@ def run_match(spark: SparkSession, a: str, b: str | None, output: str = "-", opt
     return write_pairs(full, output, options.metric, bool(info))
 
 
-def run_annotate(spark: SparkSession, a: str, db: str, expressions: list[str], output: str, options: MatchOptions = MatchOptions(), overwrite: bool = False, write_index: bool = False, verbose: bool = False) -> int:
+def run_annotate(spark: SparkSession, a: str, db: str, expressions: list[str], output: str, options: MatchOptions = MatchOptions(), overwrite: bool = False, write_index: bool = False, verbose: bool = False, index_needed: bool = False) -> int:
     """File ``a`` with one INFO field per expression, aggregated over the matches in ``db``."""
     check_output(output)
-    left, header = read_callset(spark, a, 0, chr_set=options.chr_set)
-    right, header_db = read_callset(spark, db, 1, chr_set=options.chr_set)
+    left, header = read_callset(spark, a, 0, chr_set=options.chr_set, index_needed=index_needed)
+    right, header_db = read_callset(spark, db, 1, chr_set=options.chr_set, index_needed=index_needed)
     types = {k: f.type for k, f in header_db.info.items()}
     specs: list[Aggregate] = checked([parse_aggregate(x) for x in expressions], types, set(read_header(spark, a).info), overwrite)
     _warn_missing(options, {*header.contigs, *header_db.contigs})
@@ -73,11 +73,11 @@ def run_annotate(spark: SparkSession, a: str, db: str, expressions: list[str], o
     return write_callset(found.orderBy("chrom_idx", "src_index").select(record_line("samples").alias("line")), out, output, write_index=write_index)
 
 
-def run_setop(spark: SparkSession, kind: str, a: str, b: str, output: str, options: MatchOptions = MatchOptions(), write_index: bool = False, verbose: bool = False) -> int:
+def run_setop(spark: SparkSession, kind: str, a: str, b: str, output: str, options: MatchOptions = MatchOptions(), write_index: bool = False, verbose: bool = False, index_needed: bool = False) -> int:
     """Records of ``a`` with (``intersect``) or without (``setdiff``) a match in ``b``, verbatim."""
     check_output(output)
-    left, header = read_callset(spark, a, 0, chr_set=options.chr_set)
-    right, header_b = read_callset(spark, b, 1, chr_set=options.chr_set)
+    left, header = read_callset(spark, a, 0, chr_set=options.chr_set, index_needed=index_needed)
+    right, header_b = read_callset(spark, b, 1, chr_set=options.chr_set, index_needed=index_needed)
     _warn_missing(options, {*header.contigs, *header_b.contigs})
     _summary(left, verbose)
     shown = left if options.chrs is None else left.where(F.col("chrom").isin(*options.chrs))
@@ -85,31 +85,38 @@ def run_setop(spark: SparkSession, kind: str, a: str, b: str, output: str, optio
     return write_callset(kept.orderBy("chrom_idx", "src_index"), header.pruned(options.chr_set), output, "raw", write_index)
 
 
-def _renamed(info: Column, renames: dict[str, str]) -> Column:
-    if not renames:
-        return info
-    return F.transform_keys(info, lambda k, _: reduce(lambda c, r: F.when(k == r[0], F.lit(r[1])).otherwise(c), renames.items(), k))
+def _fresh_name(name: Column, renames: dict[str, str]) -> Column:
+    return reduce(lambda c, r: F.when(name == r[0], F.lit(r[1])).otherwise(c), renames.items(), name)
 
 
-def _warn_large(records: DataFrame, options: ClusterOptions, verbose: bool) -> None:
-    """Names the components that agglomeration may find large; costs a match of its own, so only on request."""
-    if verbose:
-        edges = unique_edges(match_self(records, options.match))
-        for r in large_components(edges).orderBy(F.desc("n")).limit(20).collect():
-            log.warning("component %d has %d records; overlapping noise may chain them", r["component"], r["n"])
+def _renamed(records: DataFrame, info: dict[str, str], formats: dict[str, str]) -> DataFrame:
+    """The records with INFO keys and FORMAT names replaced."""
+    if info:
+        records = records.withColumn("info", F.transform_keys("info", lambda k, _: _fresh_name(k, info)))
+    if formats:
+        records = records.withColumn("format", F.transform("format", lambda x: _fresh_name(x, formats)))
+    return records
+
+
+def _format_names(formats: list[str], renames: list[dict[str, str]]) -> list[str]:
+    """The names under which the wanted fields are kept: a renamed field has one for each caller that declares it."""
+    return [n for k in formats for n in list(dict.fromkeys(r[k] for r in renames if k in r)) or [k]]
+
+
+def _warn_large(records: DataFrame, edges: DataFrame) -> None:
+    """Names every component that agglomeration may find large, with the caller that most of its records come from."""
+    for r in component_report(records, edges).orderBy(F.desc("n"), "component").toLocalIterator():
+        log.warning("large component on %s, %s: %d records, %d pairs; caller %d has %.1f %% of them; overlapping noise may chain them", r["chrom"], r["svtype"], r["n"], r["n_edges"], r["caller_idx"], 100 * r["share"])
 
 
-def _union(spark: SparkSession, paths: list[str], names: list[str], options: MatchOptions, info: list[str] | None, formats: list[str], verbose: bool):
+def _union(spark: SparkSession, paths: list[str], names: list[str], options: MatchOptions, info: list[str] | None, formats: list[str], verbose: bool, index_needed: bool):
     headers = [read_header(spark, p) for p in paths]
     contigs = contig_union(headers, options.chr_set)
     unified = unify([h.with_standard_info() for h in headers], names, info, formats)
     parts = []
     for i, p in enumerate(paths):
-        df, _ = read_callset(spark, p, i, list(contigs), options.chr_set)
-        df = df.withColumn("info", _renamed(F.col("info"), unified.info_renames[i]))
-        if unified.format_renames[i]:
-            df = df.withColumn("format", F.transform("format", lambda x, r=unified.format_renames[i]: reduce(lambda c, t: F.when(x == t[0], F.lit(t[1])).otherwise(c), r.items(), x)))
-        parts.append(df)
+        df, _ = read_callset(spark, p, i, list(contigs), options.chr_set, index_needed)
+        parts.append(_renamed(df, unified.info_renames[i], unified.format_renames[i]))
     records = reduce(DataFrame.unionByName, parts)
     _summary(records, verbose)
     _warn_missing(options, set(contigs))
@@ -143,16 +150,16 @@ def _alleles_shown(reconstruct: bool) -> Column:
     return F.when(kept & (F.size("alt") > 0) & (F.get("alt", F.lit(0)) != "."), F.col("alt")).otherwise(blank)
 
 
-def run_collapse(spark: SparkSession, inputs: list[tuple[str, str]], output: str, options: ClusterOptions = ClusterOptions(), info: list[str] | None = None, formats: list[str] | None = None, write_index: bool = False, command: str = "", verbose: bool = False, keep_alt: bool = False) -> int:
+def run_collapse(spark: SparkSession, inputs: list[tuple[str, str]], output: str, options: ClusterOptions = ClusterOptions(), info: list[str] | None = None, formats: list[str] | None = None, write_index: bool = False, command: str = "", verbose: bool = False, keep_alt: bool = False, index_needed: bool = False) -> int:
     """One record per cluster of the (name, path) callers' records of a sample. DEL, DUP and INV lose their ALT unless ``keep_alt``."""
     if not inputs:
         raise ValueError("collapse needs an input")
     names, paths, formats = [n for n, _ in inputs], [p for _, p in inputs], ["GT"] if formats is None else formats
-    headers, unified, records = _union(spark, paths, names, options.match, info, formats, verbose)
+    headers, unified, records = _union(spark, paths, names, options.match, info, formats, verbose, index_needed)
+    wanted, formats = formats, _format_names(formats, unified.format_renames)
     sample = collapse_sample(headers) if formats else []
     keep = ["SVTYPE", "SVLEN", "END", "CHR2", "POS2"] if info is None else info
-    _warn_large(records, options, verbose)
-    found = collapse(records, names, options)
+    found = collapse(records, names, options, _warn_large)
     extra = (Field("CALLERS", ".", "String", "Callers in the cluster, the representative's first"), Field("N_CALLERS", "1", "Integer", "Distinct callers in the cluster"), Field("N_MERGED", "1", "Integer", "Records in the cluster"))
     own = F.map_from_arrays(F.array(*(F.lit(f.id) for f in extra)), F.array(F.col("callers"), F.col("n_callers").cast("string"), F.col("n_merged").cast("string")))
     found = found.withColumn("info", F.map_concat(F.map_filter(_authoritative(False, keep), lambda k, _: ~k.isin(*(f.id for f in extra))), own))
@@ -161,24 +168,24 @@ def run_collapse(spark: SparkSession, inputs: list[tuple[str, str]], output: str
         found = found.withColumns({"samples": F.array(F.array_join(_sample_values(formats), ":")), "format": F.array(*(F.lit(k) for k in formats))})
     else:
         found = found.withColumn("samples", F.array().cast("array<string>"))
-    header = output_header(headers, unified, keep, formats, sample, extra, command, options.match.chr_set)
+    header = output_header(headers, unified, keep, wanted, sample, extra, command, options.match.chr_set)
     return write_callset(found.orderBy("chrom_idx", "pos", "src_index").select(record_line("samples").alias("line")), header, output, write_index=write_index)
 
 
-def run_merge(spark: SparkSession, paths: list[str], output: str, options: ClusterOptions = ClusterOptions(), info: list[str] | None = None, formats: list[str] | None = None, missing_to_ref: bool = False, write_index: bool = False, command: str = "", verbose: bool = False) -> int:
+def run_merge(spark: SparkSession, paths: list[str], output: str, options: ClusterOptions = ClusterOptions(), info: list[str] | None = None, formats: list[str] | None = None, missing_to_ref: bool = False, write_index: bool = False, command: str = "", verbose: bool = False, index_needed: bool = False) -> int:
     """The cohort table of single-sample files: one row per cluster with a column per sample and AC, AN and AF."""
     samples = single_samples([read_header(spark, p) for p in paths])
     formats = list(formats or ["GT"])
     formats = formats if "GT" in formats else ["GT", *formats]
-    headers, unified, records = _union(spark, paths, samples, options.match, info, formats, verbose)
+    headers, unified, records = _union(spark, paths, samples, options.match, info, formats, verbose, index_needed)
+    wanted, formats = formats, _format_names(formats, unified.format_renames)
     keep = list(dict.fromkeys(["SVTYPE", "SVLEN", "END", "CHR2", "POS2", *(info or [])]))
-    _warn_large(records, options, verbose)
     named = F.array(*(F.lit(s) for s in samples))
     records = records.withColumns({"sample": F.get(named, F.col("caller_idx")), "gt": F.array_join(_sample_values(formats), ":")})
     has_callers = any("CALLERS" in h.info for h in headers)
     if has_callers:
         records = records.withColumn("callers", F.col("info")["CALLERS"])
-    wide = materialize(merge(records, samples, options), "cohort")
+    wide = materialize(merge(records, samples, options, watch=_warn_large), "cohort")
     lost = wide.agg(F.sum("collisions")).first()[0]
     if lost:
         log.warning("%d records were passed over for another record of the same sample in their cluster", lost)
@@ -201,5 +208,5 @@ def run_merge(spark: SparkSession, paths: list[str], output: str, options: Clust
     fresh = F.map_filter(F.map_from_arrays(F.array(*(F.lit(k) for k in own)), F.array(*own.values())), lambda _, v: v.isNotNull())
     wide = wide.withColumn("info", F.map_concat(F.map_filter(_authoritative(True, keep), lambda k, _: ~k.isin(*own)), fresh))
     wide = wide.withColumns({"alt": _alleles_shown(True), "ref": F.when(F.col("svtype").isin("BND", "INS"), F.col("ref")).otherwise(F.lit("N")), "format": F.array(*(F.lit(k) for k in formats))})
-    header = output_header(headers, unified, keep, formats, samples, tuple(extra), command, options.match.chr_set)
+    header = output_header(headers, unified, keep, wanted, samples, tuple(extra), command, options.match.chr_set)
     return write_callset(wide.orderBy("chrom_idx", "pos", "src_index").select(record_line("samples").alias("line")), header, output, write_index=write_index)

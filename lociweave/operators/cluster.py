@@ -90,6 +90,17 @@ def large_components(edges: DataFrame, least: int = LARGE) -> DataFrame:
     return connected_components(edges, "src_a", "src_b").groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
+def component_report(records: DataFrame, edges: DataFrame, least: int = LARGE) -> DataFrame:
+    """component, n, n_edges, chrom, svtype, caller_idx (the one with most records) and share (of its records) of each large component."""
+    linked = connected_components(edges, "src_a", "src_b")
+    inside = edges.select(F.col("src_a").alias("node")).join(linked, "node").groupBy("component").agg(F.count(F.lit(1)).alias("n_edges"))
+    per_caller = records.select(F.col("src_index").alias("node"), "chrom", "svtype", "caller_idx").join(linked, "node")
+    per_caller = per_caller.groupBy("component", "caller_idx").agg(F.count(F.lit(1)).alias("k"), F.min("chrom").alias("chrom"), F.min("svtype").alias("svtype"))
+    top = F.max_by("caller_idx", F.struct(F.col("k"), -F.col("caller_idx")))
+    found = per_caller.groupBy("component").agg(F.sum("k").alias("n"), F.min("chrom").alias("chrom"), F.min("svtype").alias("svtype"), top.alias("caller_idx"), (F.max("k") / F.sum("k")).alias("share"))
+    return found.where(F.col("n") >= least).join(inside, "component").select("component", "n", "n_edges", "chrom", "svtype", "caller_idx", "share")
+
+
 def centrality(clusters: DataFrame, edges: DataFrame) -> DataFrame:
     """src_index, centre: mean similarity to the other members, absent pairs counting 0; only members with an inner edge have a row."""
     left = clusters.select(F.col("src_index").alias("src_a"), "cluster_id")
@@ -116,7 +127,9 @@ def representatives(records: DataFrame, clusters: DataFrame, edges: DataFrame, p
     return members.groupBy("cluster_id").agg(F.min_by("src_index", keys).alias("rep"))
 
 
-def staged_clusters(records: DataFrame, pairs: DataFrame, linkage: str, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Clusters and edges, both written once for the several readers that follow."""
+def staged_clusters(records: DataFrame, pairs: DataFrame, linkage: str, threshold: float, watch=None) -> tuple[DataFrame, DataFrame]:
+    """Clusters and edges, both written once for the several readers that follow; ``watch(records, edges)`` sees the edges first."""
     edges = materialize(unique_edges(pairs), "edges")
+    if watch is not None:
+        watch(records, edges)
     return materialize(cluster(records, edges, linkage, threshold), "clusters"), edges

@@ -19,14 +19,14 @@ def provenance(members: DataFrame, names: list[str]) -> DataFrame:
     return grouped.select("cluster_id", F.array_join(F.transform(listed, lambda i: F.get(named, i)), ",").alias("callers"), F.size("c").alias("n_callers"), "n_merged")
 
 
-def collapse(records: DataFrame, names: list[str], options: ClusterOptions = ClusterOptions()) -> DataFrame:
+def collapse(records: DataFrame, names: list[str], options: ClusterOptions = ClusterOptions(), watch=None) -> DataFrame:
     """The representatives' rows of ``records`` with cluster_id, callers, n_callers and n_merged, which replace columns of these names.
 
     ``names`` are the callers by caller_idx. Skipped and inactive records are not part of the result. The cluster threshold
-    is the interval threshold for every type.
+    is the interval threshold for every type. ``watch`` is called with the records and their edges before clustering.
     """
     kept = active(records, options.match)
-    clusters, edges = staged_clusters(kept, match_self(kept, options.match), options.linkage, options.match.threshold)
+    clusters, edges = staged_clusters(kept, match_self(kept, options.match), options.linkage, options.match.threshold, watch)
     reps = representatives(kept, clusters, edges, options.priority)
     members = clusters.join(reps, "cluster_id").join(kept.select("src_index", "caller_idx"), "src_index")
     found = provenance(members, names).join(reps, "cluster_id").withColumnRenamed("rep", "src_index")

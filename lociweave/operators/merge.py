@@ -62,7 +62,7 @@ def callers_union(members: DataFrame) -> DataFrame:
     return out.where(F.size("c") > 0).select("cluster_id", F.array_join("c", ",").alias("callers"), F.size("c").alias("n_callers"))
 
 
-def merge(records: DataFrame, samples: list[str], options: ClusterOptions = ClusterOptions(), missing_to_ref: bool = False) -> DataFrame:
+def merge(records: DataFrame, samples: list[str], options: ClusterOptions = ClusterOptions(), missing_to_ref: bool = False, watch=None) -> DataFrame:
     """The representatives' rows of ``records`` with cluster_id, genotypes, ac, an, af and collisions (records passed over for another of
     the same sample), which replace columns of these names.
 
@@ -70,7 +70,7 @@ def merge(records: DataFrame, samples: list[str], options: ClusterOptions = Clus
     it becomes the union over the cluster, with n_callers.
     """
     kept = active(records, options.match)
-    clusters, edges = staged_clusters(kept, match_self(kept, options.match), options.linkage, options.match.threshold)
+    clusters, edges = staged_clusters(kept, match_self(kept, options.match), options.linkage, options.match.threshold, watch)
     reps = representatives(kept, clusters, edges, options.priority)
     named = ["callers"] if "callers" in kept.columns else []
     members = clusters.join(reps, "cluster_id").join(kept.select("src_index", "caller_idx", "is_pass", "qual_q", "sample", "gt", *named), "src_index")

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Largest table, in rows, that ``broadcast_bounded`` sends to every executor (narrow rows: at most about 64 MB).
 BROADCAST_ROWS = 1_000_000
+#: Paths staged by each application of this process.
+_staged: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,6 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` once and return it as read back: lineage is cut, types stay, any later loss rereads the files."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _staged.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_path = path
@@ -40,9 +43,20 @@ def drop_staged(df: DataFrame) -> None:
     """Delete the files behind a table made by ``materialize`` once nothing reads them any more."""
     path = getattr(df, "_staged_path", None)
     if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
+        _delete(df.sparkSession, path)
+
+
+def drop_all_staged(spark: SparkSession) -> int:
+    """Delete every table that this application staged; for the end of a job, when no result of it is read any more. Returns their number."""
+    paths = _staged.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def broadcast_bounded(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:

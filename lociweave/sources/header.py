@@ -103,7 +103,7 @@ def _unify(per_caller: list[dict[str, Field]], names: list[str], kind: str, want
     for key in dict.fromkeys(k for fields in per_caller for k in fields):
         having = [(i, fields[key]) for i, fields in enumerate(per_caller) if key in fields]
         told = wanted is None or key in wanted
-        if len({f.type for _, f in having}) > 1:
+        if len({f.type for _, f in having}) > 1 and (kind, key) != ("FORMAT", "GT"):
             for i, f in having:
                 fresh = f"{key}_{names[i]}"
                 renames[i][key] = fresh

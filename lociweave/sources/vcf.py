@@ -1,7 +1,7 @@
-"""Reading callsets (VCF text, plain or compressed, and BCF) into the canonical columns, and writing them.
+"""Reading callsets (VCF text, plain or compressed, BCF, and Parquet folders) into the canonical columns, and writing them.
 
 Text is read by Spark's text source: an uncompressed file splits, a compressed one is a task. BCF files are decoded one file a
-task. Line numbers come from counts per split and positions within it, never from one global sort.
+task. Parquet folders are read and written by all tasks. Line numbers come from counts per split and places within it, without a sort.
 """
 
 from __future__ import annotations
@@ -9,8 +9,7 @@ from __future__ import annotations
 import contextlib
 import sys
 from collections.abc import Iterator
-from itertools import batched, chain
-from pathlib import Path
+from itertools import batched
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lociweave.functions.normalize import normalize
-from lociweave.sources import bcf
+from lociweave.sources import bcf, files
 from lociweave.sources.bgzf import BgzfWriter, decompress
 from lociweave.sources.csi import CsiBuilder
 from lociweave.plans.runtime import materialize
@@ -26,56 +25,86 @@ from lociweave.sources.header import Header
 
 #: Bases per bucket of ``assign_index``; the buckets of a genome are few whatever the number of records.
 _BUCKET = 1 << 16
+#: Name of the header's file within a ``.parquet`` folder; readers of the folder pass over it.
+_HEADER = "_header.vcf"
 
 
 def _is_bcf(path: str) -> bool:
     return path.endswith(".bcf")
 
 
-def require_index(path: str) -> None:
-    """Raises unless a local file has an index beside it."""
-    local = path.removeprefix("file://")
-    if not any(Path(local + end).exists() for end in (".csi", ".tbi")):
+def _is_table(path: str) -> bool:
+    return path.endswith(".parquet")
+
+
+def require_index(spark: SparkSession, path: str) -> None:
+    """Raises unless the file has an index beside it."""
+    if not any(files.exists(spark, path + end) for end in (".csi", ".tbi")):
         raise FileNotFoundError(f"{path} has no .csi or .tbi index")
 
 
 def _bcf_lines(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path).select("content")
+    found = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def kernel(batches):
         for rb in batches:
-            for content in rb.column("content"):
+            for name, content in zip(rb.column("path").to_pylist(), rb.column("content"), strict=True):
                 data = decompress(content.as_py())
-                header, names, contigs, at = bcf.read_header(data)
-                for lines in batched(chain(header.lines(), bcf.decode(data, at, names, contigs)), 4096):
-                    yield pa.RecordBatch.from_pydict({"value": pa.array(lines)})
+                _, names, contigs, at = bcf.read_header(data)
+                for lines in batched(bcf.decode(data, at, names, contigs), 4096):
+                    yield pa.RecordBatch.from_pydict({"value": pa.array(lines), "file": pa.array([name] * len(lines))})
 
-    return files.mapInArrow(kernel, "value string").withColumn("_start", F.lit(0).cast("long"))
+    return found.mapInArrow(kernel, "value string, file string").select("value", F.struct("file", F.lit(0).cast("long").alias("start")).alias("part"))
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """value and _start (where the split begins), in file order within a split."""
+    """value, part (the split it is from; splits sort in file order) and id, which counts up by one within a part."""
+    if _is_table(path):
+        return spark.read.parquet(path).select("value", F.struct(F.lit(path).alias("file"), F.shiftright("place", 33).alias("start")).alias("part"), F.col("place").alias("id"))
     if _is_bcf(path):
-        return _bcf_lines(spark, path)
-    return spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_start"))
+        rows = _bcf_lines(spark, path)
+    else:
+        rows = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")).alias("part"))
+    return rows.where(~F.col("value").startswith("#") & (F.col("value") != "")).withColumn("id", F.monotonically_increasing_id())
+
+
+def _header_lines(pieces: Iterator[bytes]) -> list[str]:
+    """Lines that begin with '#', read no further than the first that does not."""
+    lines, rest = [], b""
+    for piece in pieces:
+        *whole, rest = (rest + piece).split(b"\n")
+        for line in whole:
+            if not line.startswith(b"#"):
+                return lines
+            lines.append(line.decode())
+    return lines + ([rest.decode()] if rest.startswith(b"#") else [])
 
 
 def read_header(spark: SparkSession, path: str) -> Header:
-    """The header; of a BCF file its own bytes are read once."""
-    if _is_bcf(path):
-        data = decompress(bytes(spark.read.format("binaryFile").load(path).select("content").first()["content"]))
+    """The header; of a single file no more than its beginning is read."""
+    source = f"{path}/{_HEADER}" if _is_table(path) else path
+    if files.is_file(spark, source):
+        pieces = files.unpacked(files.chunks(spark, source))
+        if not _is_bcf(path):
+            return Header.parse(_header_lines(pieces))
+        data = b""
+        for piece in pieces:
+            data += piece
+            if bcf.has_header(data):
+                break
         return bcf.read_header(data)[0]
-    rows = _lines(spark, path).where(F.col("value").startswith("#")).select("value").collect()
+    if _is_bcf(path):
+        raise ValueError(f"not a single file: {path}")
+    rows = spark.read.text(path).where(F.col("value").startswith("#")).collect()
     return Header.parse([r["value"] for r in rows])
 
 
 def _numbered(lines: DataFrame) -> DataFrame:
-    """Records with their 1-based number in the file."""
-    rows = lines.where(~F.col("value").startswith("#") & (F.col("value") != "")).withColumn("_id", F.monotonically_increasing_id())
-    counts = rows.groupBy("_start").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    inside = F.row_number().over(Window.partitionBy("_start").orderBy("_id"))
-    return rows.withColumn("_i", inside).join(F.broadcast(before), "_start").select("value", (F.col("_before") + F.col("_i")).cast("long").alias("lineno"))
+    """Records with their 1-based number in the file: the records of the parts before, and the place within the part."""
+    parts = lines.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.select("part", (before - F.col("first") + 1).alias("shift"))  # one row per split
+    return lines.join(F.broadcast(starts), "part").select("value", (F.col("id") + F.col("shift")).cast("long").alias("lineno"))
 
 
 def parse_info(text: Column) -> Column:
@@ -101,7 +130,7 @@ def read_callset(spark: SparkSession, path: str, caller_idx: int = 0, contigs: l
     parsed once and staged, since every join lane reads them.
     """
     if index_needed:
-        require_index(path)
+        require_index(spark, path)
     header = read_header(spark, path)
     order = list(header.contigs) if contigs is None else contigs
     f = F.split("value", "\t")
@@ -143,18 +172,13 @@ def record_line(samples: str | None = None) -> Column:
     return F.when(F.size(samples) > 0, F.concat_ws("\t", line, F.coalesce(F.array_join("format", ":"), F.lit(".")), F.array_join(samples, "\t"))).otherwise(line)
 
 
-@contextlib.contextmanager
 def _opened(path: str):
-    if path in ("", "-", "/dev/stdout"):
-        yield sys.stdout.buffer
-    else:
-        with open(path, "wb") as f:
-            yield f
+    return contextlib.nullcontext(sys.stdout.buffer) if path in ("", "-", "/dev/stdout") else files.created(path)
 
 
 def check_output(path: str) -> None:
-    if path not in ("", "-", "/dev/stdout") and not path.endswith((".vcf", ".vcf.gz", ".bcf")):
-        raise ValueError(f"output must end in .vcf, .vcf.gz or .bcf: {path}")
+    if path not in ("", "-", "/dev/stdout") and not path.endswith((".vcf", ".vcf.gz", ".bcf", ".parquet")):
+        raise ValueError(f"output must end in .vcf, .vcf.gz, .bcf or .parquet: {path}")
 
 
 def write_lines(lines: Iterator[str], header: Header, path: str, write_index: bool = False) -> int:
@@ -180,6 +204,18 @@ def write_lines(lines: Iterator[str], header: Header, path: str, write_index: bo
     return count
 
 
+def _write_table(df: DataFrame, header: Header, path: str) -> int:
+    """The distributed form: a folder of record lines with the columns that readers prune by, written by all tasks, and the header."""
+    f = F.split("value", "\t")
+    place = F.monotonically_increasing_id().alias("place")  # in the order of df, by one within a task
+    rows = df.select("value", place, F.get(f, F.lit(0)).alias("chrom"), F.get(f, F.lit(1)).cast("long").alias("pos"), F.get(f, F.lit(2)).alias("id"))
+    rows.write.mode("overwrite").parquet(path)
+    files.put(df.sparkSession, f"{path}/{_HEADER}", ("\n".join(header.lines()) + "\n").encode())
+    return df.sparkSession.read.parquet(path).count()
+
+
 def write_callset(df: DataFrame, header: Header, path: str, line: str = "line", write_index: bool = False) -> int:
-    """Writes the text column ``line`` in the order of ``df``, partition by partition, as one file."""
+    """Writes the text column ``line`` in the order of ``df``: a ``.parquet`` folder by all tasks, else one file, partition by partition."""
+    if _is_table(path):
+        return _write_table(df.select(F.col(line).alias("value")), header, path)
     return write_lines((r[line] for r in df.select(line).toLocalIterator()), header, path, write_index)
