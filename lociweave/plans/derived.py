@@ -5,9 +5,15 @@ Each customer is a locus with about ten records of three callers; see the expres
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lociweave.plans.runtime import shared_dir
+from lociweave.sources.header import Field, Header
+from lociweave.sources.vcf import record_line, write_callset
+
 _TYPE = "CASE o_custkey % 5 WHEN 0 THEN 'DEL' WHEN 1 THEN 'DUP' WHEN 2 THEN 'INV' WHEN 3 THEN 'BND' ELSE 'INS' END"
 _POS = "(10000 * o_custkey + (o_orderkey * 7919 % 40) * 10)"
 _LEN = "(300 + (o_custkey % 60) * 40 + (o_orderkey % 7) * 15)"
@@ -91,3 +97,44 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         "src_index", "caller_idx", F.col("src_index").alias("lineno"), "chrom", "pos", "id", "ref", F.array("alt").alias("alt"), "qual",
         F.when(F.col("filter") == ".", F.array().cast("array<string>")).otherwise(F.array("filter")).alias("filters"), F.map_filter(pairs, lambda _, v: v.isNotNull()).alias("info"),
     )
+
+
+_INFO_TYPES = {"SVTYPE": "String", "END": "Integer", "SVLEN": "Integer", "INSLEN": "Integer", "LEFT_SVINSSEQ": "String", "RIGHT_SVINSSEQ": "String"}
+
+
+def _header(**more) -> Header:
+    info = {k: Field(k, "1", t, "") for k, t in _INFO_TYPES.items()}
+    return Header(info=info, filters={"PASS": "All filters passed", "LowQual": "Low quality"}, contigs={f"chr{i}": None for i in (1, 2, 3)}, **more)
+
+
+def _fresh_path(spark: SparkSession, end: str) -> str:
+    return f"{shared_dir(spark)}/callset-{uuid.uuid4().hex}{end}"
+
+
+def raw_file(spark: SparkSession, sf_dir: str, end: str) -> str:
+    """The path of a new file of ``raw_records`` by contig, position and index, in the format of its ending."""
+    path = _fresh_path(spark, end)
+    lines = raw_records(spark, sf_dir).orderBy("chrom", "pos", "src_index").select(record_line().alias("line"))
+    write_callset(lines, _header(), path)
+    return path
+
+
+def sample_file(spark: SparkSession, sf_dir: str, caller: int, depth_type: str) -> str:
+    """The path of a new file of one caller's records of ``callset`` as sample S<caller>, with a FORMAT field DP of the given type."""
+    path = _fresh_path(spark, ".vcf")
+    df = callset(spark, sf_dir).where(F.col("caller_idx") == caller)
+    mate = F.concat(F.lit("N["), F.col("chr2"), F.lit(":"), F.col("pos2").cast("string"), F.lit("["))
+    own = {"SVTYPE": F.col("svtype"), "END": F.when(F.col("svtype").isin("DEL", "DUP", "INV"), F.col("end_pos").cast("string")), "SVLEN": F.when(F.col("svtype") != "BND", F.col("svlen").cast("string"))}
+    fields = F.map_filter(F.map_from_arrays(F.array(*(F.lit(k) for k in own)), F.array(*own.values())), lambda _, v: v.isNotNull())
+    df = df.select(
+        "chrom", "pos", "src_index", F.concat(F.lit("r"), F.col("src_index").cast("string")).alias("id"), F.lit("N").alias("ref"), "qual", fields.alias("info"), F.array(F.lit("GT"), F.lit("DP")).alias("format"),
+        F.array(F.when(F.col("svtype") == "BND", mate).otherwise(F.concat(F.lit("<"), F.col("svtype"), F.lit(">")))).alias("alt"), F.array(F.when(F.col("is_pass"), "PASS").otherwise("LowQual")).alias("filters"),
+        F.array(F.concat_ws(":", "gt", (F.col("src_index") % 50).cast("string"))).alias("samples"),
+    )
+    lines = df.orderBy("chrom", "pos", "src_index").select(record_line("samples").alias("line"))
+    write_callset(lines, _header(format={"GT": Field("GT", "1", "String", "Genotype"), "DP": Field("DP", "1", depth_type, "Depth")}, samples=[f"S{caller}"]), path)
+    return path
+
+
+def fresh_table(spark: SparkSession) -> str:
+    return _fresh_path(spark, ".parquet")

@@ -95,9 +95,34 @@ _CENTRE = """inner_sums AS (SELECT s AS src_index, sum(sim) AS total FROM (SELEC
 centres AS (SELECT c.src_index, coalesce(i.total / (count(*) OVER (PARTITION BY c.cluster_id) - 1), 0) AS centre FROM clusters c LEFT JOIN inner_sums i USING (src_index))"""
 
 
-def _reps(order: str, centre: bool = False) -> str:
+#: How the similarity of a merged group to a third one follows from those of its parts, p and q, which are 0 where absent.
+_LINKS = {"average": "(CAST(nx AS DOUBLE) * p + CAST(ny AS DOUBLE) * q) / (nx + ny)", "complete": "least(p, q)"}
+
+
+def _agglomerated(linkage: str) -> str:
+    """Clusters as in ``_CLUSTERED`` under another linkage: each round every component merges its most similar pair of groups.
+
+    ``rounds`` holds pairs of groups (merged false) with their similarity and sizes, and the merges done (merged true).
+    """
+    return f"""WITH RECURSIVE {_SELF}, links AS (SELECT src_a AS x, src_b AS y FROM edges WHERE sim >= 0.75E0 UNION SELECT src_b, src_a FROM edges WHERE sim >= 0.75E0), {_REACH},
+low AS (SELECT src_index, min(c) AS c FROM reach GROUP BY src_index),
+rounds AS (SELECT l.c AS comp, src_a AS a, src_b AS b, sim AS v, 1 AS na, 1 AS nb, false AS merged FROM edges JOIN low l ON l.src_index = src_a JOIN low m ON m.src_index = src_b AND m.c = l.c
+  UNION ALL (
+    WITH cur AS (SELECT * FROM rounds WHERE NOT merged),
+    best AS (SELECT comp, a AS x, b AS y, na AS nx, nb AS ny FROM cur WHERE v >= 0.75E0 QUALIFY row_number() OVER (PARTITION BY comp ORDER BY v DESC, a, b) = 1),
+    met AS (SELECT cur.*, x, y, nx, ny, CASE WHEN a IN (x, y) THEN b ELSE a END AS k, CASE WHEN a IN (x, y) THEN nb ELSE na END AS nk, a IN (x, y) OR b IN (x, y) AS touched FROM cur JOIN best USING (comp) WHERE NOT (a = x AND b = y)),
+    joined AS (SELECT comp, x, nx, ny, k, nk, coalesce(max(v) FILTER (x IN (a, b)), 0.0E0) AS p, coalesce(max(v) FILTER (y IN (a, b)), 0.0E0) AS q FROM met WHERE touched GROUP BY ALL)
+    SELECT comp, x AS a, y AS b, 0.0E0 AS v, nx AS na, ny AS nb, true AS merged FROM best
+    UNION ALL SELECT comp, a, b, v, na, nb, false FROM met WHERE NOT touched
+    UNION ALL SELECT comp, least(x, k), greatest(x, k), s, CASE WHEN x < k THEN nx + ny ELSE nk END, CASE WHEN x < k THEN nk ELSE nx + ny END, false FROM (SELECT *, {_LINKS[linkage]} AS s FROM joined) WHERE s > 0)),
+merges AS (SELECT a, b FROM rounds WHERE merged),
+climb AS (SELECT src_index, src_index AS c FROM calls UNION ALL SELECT climb.src_index, merges.a FROM climb JOIN merges ON merges.b = climb.c),
+clusters AS (SELECT src_index, min(c) AS cluster_id FROM climb GROUP BY src_index)"""
+
+
+def _reps(order: str, centre: bool = False, clustered: str = _CLUSTERED) -> str:
     more, join = (f", {_CENTRE}", "JOIN centres USING (src_index)") if centre else ("", "")
-    return f"""{_CLUSTERED}{more}, members AS (SELECT c.cluster_id, calls.*, first_value(calls.src_index) OVER (PARTITION BY c.cluster_id ORDER BY {order}) AS rep
+    return f"""{clustered}{more}, members AS (SELECT c.cluster_id, calls.*, first_value(calls.src_index) OVER (PARTITION BY c.cluster_id ORDER BY {order}) AS rep
   FROM clusters c JOIN calls USING (src_index) {join})"""
 
 
@@ -105,11 +130,18 @@ _PASS_QUAL = "is_pass DESC, qual_q DESC, caller_idx, src_index"
 _SIGNED = "CASE svtype WHEN 'DEL' THEN -svlen WHEN 'BND' THEN 0 ELSE svlen END"
 _PROVENANCE = """prov AS (SELECT cluster_id, rep AS src_index, max(caller_idx) FILTER (src_index = rep) AS lead, list_sort(list_distinct(list(caller_idx))) AS cs, count(*) AS n_merged FROM members GROUP BY cluster_id, rep),
 named AS (SELECT *, array_to_string(list_transform(list_concat([lead], list_filter(cs, lambda x: x <> lead)), lambda x: 'c' || x), ',') AS callers, CAST(len(cs) AS INT) AS n_callers FROM prov)"""
-_PICKS = """ranked AS (SELECT *, row_number() OVER (PARTITION BY cluster_id, sample ORDER BY is_pass DESC, qual_q DESC, src_index <> rep, src_index) AS r, count(*) OVER (PARTITION BY cluster_id, sample) AS n FROM members),
+_DEFAULT = "is_pass DESC, round(centre, 12) DESC, caller_idx, src_index"
+
+
+def _picks(order: str) -> str:
+    return f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY cluster_id, sample ORDER BY {order}, src_index <> rep, src_index) AS r, count(*) OVER (PARTITION BY cluster_id, sample) AS n FROM members),
 picks AS (SELECT cluster_id, rep, sample, src_index, gt, n, len(list_filter(string_split_regex(gt, '[/|]'), lambda x: x <> '.')) AS c,
   len(list_filter(string_split_regex(gt, '[/|]'), lambda x: coalesce(TRY_CAST(x AS INT), 0) >= 1)) AS a FROM ranked WHERE r = 1)"""
 
 
+_PICKS = _picks("is_pass DESC, qual_q DESC")
+
+
 def _cohort(missing_to_ref: bool) -> str:
     blank, more = ("'0/0'", " + (3 - count(*)) * 2") if missing_to_ref else ("'./.'", "")
     gts = ", ".join(f"coalesce(max(gt) FILTER (sample = '{s}'), {blank}) AS gt_{s.lower()}" for s in ("S0", "S1", "S2"))
@@ -118,6 +150,46 @@ SELECT k.rep AS src_index, cluster_id, chrom, pos, gt_s0, gt_s1, gt_s2, k.ac AS
 FROM counted k JOIN calls ON calls.src_index = k.rep"""
 
 
+_FLOAT_QUAL = "CAST(least(65535, greatest(0, floor(CAST(qual AS FLOAT) * 4))) AS INT)"
+#: The callset as three files give it: numbered by contig, position and file; qualities as 32-bit numbers.
+_FILE_CALLS = f"calls AS (SELECT * REPLACE (row_number() OVER (ORDER BY chrom, pos, caller_idx, src_index) - 1 AS src_index), src_index AS number, {_FLOAT_QUAL} AS qual_q FROM ({callset_sql(CALLSET)}))"
+
+
+def _from_files(sql: str) -> str:
+    return sql.replace(_CALLS, _FILE_CALLS)
+
+
+def _scan() -> str:
+    """Raw records as a file numbers and names them."""
+    own = "CASE WHEN svtype IS NOT NULL AND id = '.' THEN chrom || '_' || pos || '_' || svtype || '_' || lineno ELSE id END AS id"
+    shown = "coalesce(nullif(concat_ws(';', 'END=' || info_end, 'SVLEN=' || info_svlen, 'INSLEN=' || info_inslen), ''), '.') AS info"
+    numbered = "numbered AS (SELECT n.*, raw.info_inslen, row_number() OVER (ORDER BY n.chrom, n.pos, src_index) AS lineno FROM n JOIN raw USING (src_index))"
+    return f"WITH {_NORMAL}, {numbered} SELECT lineno, chrom, pos, {own}, svtype, end_pos, svlen, chr2, pos2, skip_reason, filter IN ('PASS', '.') AS is_pass, {_FLOAT_QUAL} AS qual_q, {shown} FROM numbered"
+
+
+def _merged_files() -> str:
+    cells = ", ".join(
+        f"coalesce(max(CASE WHEN sample = 'S{i}' THEN gt || '{':.' * i}:' || (number % 50) || '{':.' * (2 - i)}' END), './.:.:.:.') AS cell_s{i}" for i in range(3)
+    )
+    return f"""{_from_files(_reps(_PASS_QUAL))}, {_PICKS}, counted AS (SELECT p.cluster_id, p.rep, {cells}, sum(a) AS ac, sum(c) AS an FROM (SELECT picks.*, calls.number FROM picks JOIN calls USING (src_index)) p GROUP BY p.cluster_id, p.rep)
+SELECT 'r' || number AS id, chrom, svtype, pos, 'GT:DP_S0:DP_S1:DP_S2' AS format, cell_s0, cell_s1, cell_s2, CAST(k.ac AS VARCHAR) AS ac, CAST(k.an AS VARCHAR) AS an,
+  CASE WHEN svtype <> 'BND' THEN CAST(end_pos AS VARCHAR) END AS info_end, CASE WHEN svtype <> 'BND' THEN CAST({_SIGNED} AS VARCHAR) END AS info_svlen
+FROM counted k JOIN calls ON calls.src_index = k.rep"""
+
+
+def _collapsed_files() -> str:
+    cell = "gt || CASE caller_idx WHEN 0 THEN ':' || (number % 50) || ':.:.' WHEN 1 THEN ':.:' || (number % 50) || ':.' ELSE ':.:.:' || (number % 50) END AS cell"
+    alt = "CASE svtype WHEN 'BND' THEN 'N[' || chr2 || ':' || pos2 || '[' WHEN 'INS' THEN '<INS>' ELSE '' END AS alt"
+    return f"""{_from_files(_reps(_PASS_QUAL))}, {_PROVENANCE} SELECT 'r' || number AS id, chrom, pos, 'GT:DP_c0:DP_c1:DP_c2' AS format, {cell}, {alt}, callers, CAST(n_callers AS VARCHAR) AS n_callers, CAST(n_merged AS VARCHAR) AS n_merged
+FROM named JOIN calls USING (src_index)"""
+
+
+def _annotated_files() -> str:
+    sides = f"WITH {_CALLS}, side_a AS (SELECT * FROM calls WHERE caller_idx = 0), side_b AS (SELECT * FROM calls WHERE caller_idx = 1)"
+    joined = "m AS (SELECT src_a, b.svtype, CASE WHEN b.svtype <> 'BND' THEN b.svlen END AS len FROM pairs JOIN side_b b ON b.src_index = src_b), g AS (SELECT src_a, count(*) AS n, max(len) AS longest, min(svtype) AS kind FROM m GROUP BY src_a)"
+    return f"{sides}, pairs AS ({_pairs()}), {joined} SELECT 'r' || src_index AS id, chrom, pos, CAST(coalesce(n, 0) AS VARCHAR) AS n, CAST(longest AS VARCHAR) AS longest, kind AS kinds FROM side_a LEFT JOIN g ON src_a = src_index"
+
+
 _LISTED = "flatten(list(string_split(ann, ',') ORDER BY src_index <> rep, src_index) FILTER (WHERE ann IS NOT NULL))"
 
 
@@ -151,6 +223,10 @@ def core_oracle_sql() -> dict[str, str]:
         "edges_dedup": f"{_SIDES}, pairs AS ({_pairs()}) SELECT least(src_a, src_b) AS src_a, greatest(src_a, src_b) AS src_b, max(CAST(round(sim * 1000000) AS BIGINT)) AS sim_micro FROM pairs GROUP BY ALL",
         "components": f"WITH RECURSIVE {_SELF}, links AS (SELECT src_a AS x, src_b AS y FROM edges UNION SELECT src_b, src_a FROM edges), {_REACH} SELECT src_index, least(min(c), src_index) AS component FROM reach GROUP BY src_index",
         "large_components": f"WITH RECURSIVE {_SELF}, links AS (SELECT src_a AS x, src_b AS y FROM edges UNION SELECT src_b, src_a FROM edges), {_REACH}, low AS (SELECT src_index, least(min(c), src_index) AS component FROM reach GROUP BY src_index) SELECT component, count(*) AS n FROM low GROUP BY component HAVING count(*) >= 12",
+        "cluster_average": f"{_agglomerated('average')} SELECT src_index, cluster_id FROM clusters",
+        "cluster_complete": f"{_agglomerated('complete')} SELECT src_index, cluster_id FROM clusters",
+        "collapse_average": f"{_reps(_DEFAULT, True, _agglomerated('average'))}, {_PROVENANCE} SELECT src_index, cluster_id, callers, n_callers, n_merged FROM named",
+        "merge_average": f"{_reps(_DEFAULT, True, _agglomerated('average'))}, {_picks('is_pass DESC, caller_idx, caller_idx')} SELECT rep AS src_index, cluster_id, CAST(sum(a) AS INT) AS ac, CAST(sum(c) AS INT) AS an FROM picks GROUP BY cluster_id, rep",
         "cluster_single": f"{_CLUSTERED} SELECT src_index, cluster_id FROM clusters",
         "representative_pass_order": f"{_reps('is_pass DESC, caller_idx, src_index')} SELECT DISTINCT cluster_id, rep FROM members",
         "representative_qual": f"{_reps('qual_q DESC, caller_idx, src_index')} SELECT DISTINCT cluster_id, rep FROM members",
@@ -164,5 +240,10 @@ def core_oracle_sql() -> dict[str, str]:
         "merge_callers_union": f"{_reps(_PASS_QUAL)}, lists AS (SELECT cluster_id, {_LISTED} AS l FROM members GROUP BY cluster_id), u AS (SELECT cluster_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS l FROM lists WHERE len(l) > 0) SELECT cluster_id, array_to_string(l, ',') AS callers, CAST(len(l) AS INT) AS n_callers FROM u",
     }
     found |= {k: _annotation(*v) for k, v in _ANNOTATIONS.items()}
+    found |= {f"scan_{end}": _scan() for end in ("vcf", "vcf_gz", "bcf", "parquet")}
+    found |= {"merge_files": _merged_files(), "collapse_files": _collapsed_files(), "annotate_files": _annotated_files()}
+    found["unknown_contigs"] = (
+        f"WITH {_NORMAL} SELECT chrom, CASE WHEN chrom = 'chr3' THEN 'unknown_contig' ELSE coalesce(skip_reason, CASE WHEN svtype = 'BND' AND chr2 <> 'chr1' THEN 'chrom_filtered' END, 'kept') END AS reason, count(*) AS n FROM n GROUP BY ALL"
+    )
     found["anno_count"] = found["anno_count"].replace("g.v AS n_match", "coalesce(g.v, 0) AS n_match")
     return found

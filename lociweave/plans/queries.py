@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lociweave.commands import run_annotate, run_collapse, run_merge
 from lociweave.functions import normalize as norm
 from lociweave.functions.aggspec import parse_aggregate
+from lociweave.functions.normalize import info_text
 from lociweave.functions.similarity import quantized_qual, signed_svlen, six_decimals
 from lociweave.operators import cluster as cl
 from lociweave.operators import match as m
@@ -17,8 +19,9 @@ from lociweave.operators.collapse import collapse
 from lociweave.operators.merge import allele_counts, callers_union, genotype_of, merge, sample_picks
 from lociweave.operators.setops import intersect, setdiff
 from lociweave.options import INTERVAL_TYPES, ClusterOptions, MatchOptions
-from lociweave.plans.derived import callset, raw_records, sides
+from lociweave.plans.derived import callset, fresh_table, raw_file, raw_records, sample_file, sides
 from lociweave.plans.runtime import materialize
+from lociweave.sources.vcf import read_callset
 
 JACCARD = MatchOptions(min_jaccard=0.75)
 OVERLAP = MatchOptions(min_overlap=0.8)
@@ -181,6 +184,58 @@ def qual_quantize(spark, sf_dir):
     return norm.normalize(raw_records(spark, sf_dir)).select("src_index", quantized_qual(F.col("qual") * 20).alias("qual_q"), "is_pass")
 
 
+def _round_trip(end):
+    """Records written in a format and read back: parsing, line numbers, normalisation and synthesized names."""
+
+    def run(spark, sf_dir):
+        found, _ = read_callset(spark, raw_file(spark, sf_dir, end))
+        return found.select("lineno", "chrom", "pos", "id", "svtype", "end_pos", "svlen", "chr2", "pos2", "skip_reason", "is_pass", "qual_q", info_text("info", ["END", "SVLEN", "INSLEN"]).alias("info"))
+
+    return run
+
+
+for _end in ("vcf", "vcf.gz", "bcf", "parquet"):
+    _FOUND[f"scan_{_end.replace('.', '_')}"] = _round_trip(f".{_end}")
+
+
+@query
+def unknown_contigs(spark, sf_dir):
+    """Reasons of records when only two contigs of the file are known, and mates only on one."""
+    found, _ = read_callset(spark, raw_file(spark, sf_dir, ".vcf"), contigs=["chr1", "chr2"], chr_set=("chr1",))
+    return found.groupBy("chrom", F.coalesce("skip_reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def merge_files(spark, sf_dir):
+    """The merge command over three files whose DP differ in type: renamed fields, GT added, counts and cells written and read back."""
+    paths = [sample_file(spark, sf_dir, i, "Integer" if i == 0 else "String") for i in range(3)]
+    out = fresh_table(spark)
+    run_merge(spark, paths, out, ClusterOptions(linkage="single", priority=("PASS", "QUAL")), formats=["DP"])
+    found, _ = read_callset(spark, out)
+    cells = [F.get("samples", F.lit(i)).alias(f"cell_{s.lower()}") for i, s in enumerate(SAMPLES)]
+    return found.select("id", "chrom", "svtype", "pos", F.array_join("format", ":").alias("format"), *cells, F.col("info")["AC"].alias("ac"), F.col("info")["AN"].alias("an"), F.col("info")["END"].alias("info_end"), F.col("info")["SVLEN"].alias("info_svlen"))
+
+
+@query
+def collapse_files(spark, sf_dir):
+    """The collapse command over the same files: the representative's own cells under the renamed fields, with provenance."""
+    paths = [(CALLERS[i], sample_file(spark, sf_dir, i, "Integer" if i == 0 else "String")) for i in range(3)]
+    out = fresh_table(spark)
+    run_collapse(spark, paths, out, ClusterOptions(linkage="single", priority=("PASS", "QUAL")), formats=["GT", "DP"])
+    found, _ = read_callset(spark, out)
+    return found.select("id", "chrom", "pos", F.array_join("format", ":").alias("format"), F.get("samples", F.lit(0)).alias("cell"), F.array_join("alt", ",").alias("alt"), *(F.col("info")[k].alias(k.lower()) for k in ("CALLERS", "N_CALLERS", "N_MERGED")))
+
+
+@query
+def annotate_files(spark, sf_dir):
+    """The annotate command over two files: aggregates written as INFO, by match count and similarity."""
+    paths = [sample_file(spark, sf_dir, i, "Integer") for i in range(2)]
+    out = fresh_table(spark)
+    run_annotate(spark, *paths, ["N=first(MATCH_COUNT)", "LONGEST=max(SVLEN)", "KINDS=unique(SVTYPE)"], out, JACCARD)
+    found, _ = read_callset(spark, out)
+    return found.select("id", "chrom", "pos", *(F.col("info")[k].alias(k.lower()) for k in ("N", "LONGEST", "KINDS")))
+
+
 @query
 def info_filter(spark, sf_dir):
     kept = raw_records(spark, sf_dir).select("src_index", norm.kept_info(["SVLEN"], ("END",)).alias("kept"))

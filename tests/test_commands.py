@@ -12,6 +12,7 @@ from lociweave import commands
 from lociweave.cli import main
 from lociweave.operators.annotate import annotate
 from lociweave.options import ClusterOptions, MatchOptions
+from lociweave.plans.runtime import drop_all_staged
 from lociweave.sources import bcf
 from lociweave.sources.bgzf import decompress
 from lociweave.sources.csi import bin_of, read_bins
@@ -242,11 +243,70 @@ def test_bcf_round_trip(spark, files, tmp_path):
 def test_index_needed(spark, files, tmp_path):
     with pytest.raises(FileNotFoundError):
         read_callset(spark, files["A"], index_needed=True)
+    out = str(tmp_path / "m.tsv")
+    assert main(["match", files["A"], files["B"], "-o", out, "--require-index"]) == 1
+    for f in ("A", "B"):
+        lines = [x for x in Path(files[f]).read_text().splitlines() if not x.startswith("#")]
+        write_lines(iter(lines), read_header(spark, files[f]), str(tmp_path / f"{f}.vcf.gz"), write_index=True)
+    assert main(["match", str(tmp_path / "A.vcf.gz"), str(tmp_path / "B.vcf.gz"), "-o", out, "--require-index"]) == 0 and len(pairs(out)) == 13
+
+
+def depths(tmp_path, name, kind, sample, rows):
+    head = fx.header(fx.SV, (sample,)).replace("##FORMAT=<ID=GT", f'##FORMAT=<ID=DP,Number=1,Type={kind},Description="Depth">\n##FORMAT=<ID=GT', 1)
+    text = fx.text(head, [fx.interval(i, "chr1", 1000 + 5000 * n, 2000 + 5000 * n, "DEL", gt=gt) for n, (i, gt, _) in enumerate(rows)])
+    cells = {i: dp for i, _, dp in rows}
+    lines = [x if x.startswith("#") else "\t".join([*x.split("\t")[:8], "GT:DP", f"{x.split(chr(9))[9]}:{cells[x.split(chr(9))[2]]}"]) for x in text.splitlines()]
+    (tmp_path / f"{name}.vcf").write_text("\n".join(lines) + "\n")
+    return str(tmp_path / f"{name}.vcf")
+
+
+@pytest.mark.parametrize("end", [".bcf", ".parquet"])
+def test_format_conflicts_are_renamed(spark, tmp_path, end):
+    one = depths(tmp_path, "p", "Integer", "S1", [("a", "0/1", 7), ("b", "1/1", 8)])
+    two = depths(tmp_path, "q", "String", "S2", [("c", "0/0", "many")])
+    out = str(tmp_path / f"m{end}")
+    commands.run_merge(spark, [one, two], out, formats=["DP"])
+    rows = {r["id"]: r for r in read_callset(spark, out)[0].collect()}
+    assert rows["a"]["format"] == ["GT", "DP_S1", "DP_S2"] and rows["a"]["samples"] == ["0/1:7:.", "0/0:.:many"] and rows["b"]["samples"] == ["1/1:8:.", "./.:.:."]
+    kinds = {k: f.type for k, f in read_header(spark, out).format.items()}
+    assert kinds == {"GT": "String", "DP_S1": "Integer", "DP_S2": "String"}
+    commands.run_merge(spark, [one, two], out)  # a conflict in a field that is not asked for changes nothing
+    assert {tuple(r["format"]) for r in read_callset(spark, out)[0].collect()} == {("GT",)}
+    commands.run_collapse(spark, [("p", one), ("q", two)], out, formats=["GT", "DP"])
+    assert [r["samples"] for r in read_callset(spark, out)[0].orderBy("lineno").collect()] == [["0/1:7:."], ["1/1:8:."]]
+    assert {"DP_p", "DP_q"} < set(read_header(spark, out).format)
+
+
+def test_large_components_are_told_without_being_asked(spark, tmp_path, caplog):
+    rows = [fx.interval(f"r{i}", "chr1", 1000 + i // 20, 9000 + i // 20, "DEL", gt="0/1") for i in range(520)]
+    for s, r in (("S1", rows), ("S2", rows[:10])):
+        (tmp_path / f"{s}.vcf").write_text(fx.text(fx.header(fx.SV, (s,)), r))
+    with caplog.at_level("WARNING", logger="lociweave"):
+        commands.run_collapse(spark, [(s, str(tmp_path / f"{s}.vcf")) for s in ("S1", "S2")], str(tmp_path / "c.vcf"), ClusterOptions(linkage="single"), formats=[])
+    assert "chr1, DEL: 530 records" in caplog.text and "caller 0 has 98.1 %" in caplog.text
+
+
+def test_several_files_under_one_path_keep_their_numbers(spark, files, tmp_path):
+    """Numbers go on from file to file in the order of names, split or not."""
+    lines = [x for x in Path(files["A"]).read_text().splitlines() if not x.startswith("#")]
+    head = [x for x in Path(files["A"]).read_text().splitlines() if x.startswith("#")]
+    (tmp_path / "parts").mkdir()
+    for i in range(3):
+        (tmp_path / "parts" / f"{i}.vcf").write_text("\n".join([*head, *lines[i * 9 : (i + 1) * 9 if i < 2 else None]]) + "\n")
+    got = read_callset(spark, str(tmp_path / "parts"))[0].orderBy("lineno").collect()
+    assert [r["lineno"] for r in got] == list(range(1, len(lines) + 1)) and [r["raw"] for r in got] == lines
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        got = read_callset(spark, files["A"])[0].orderBy("lineno").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r["lineno"] for r in got] == list(range(1, len(lines) + 1)) and [r["raw"] for r in got] == lines
 
 
 def test_command_line(spark, files, tmp_path):
     out = str(tmp_path / "m.tsv")
     assert main(["match", files["A"], files["B"], "--output", out]) == 0 and len(pairs(out)) == 13
+    assert drop_all_staged(spark) == 0  # a command leaves no staged table behind
     assert main(["match", files["A"]]) == 1
     assert main(["collapse", f"p:{files['Caller1']}", files["Caller2"], "-o", str(tmp_path / "c.vcf.gz"), "--min-jaccard", "0.5"]) == 0
     assert info(body(str(tmp_path / "c.vcf.gz"))[0])["CALLERS"] == "p,Caller2"

@@ -136,8 +136,9 @@ def test_components(spark):
         if a is not None and a != b:
             a, b = find(a), find(b)
             parent[max(a, b)] = min(a, b)
-    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
-    assert got == {x: find(x) for x in list(parent)}
+    for most in (10**6, 0):  # in one task, and in rounds
+        got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b", task_edges=most).collect()}
+        assert got == {x: find(x) for x in list(parent)}
     assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
@@ -181,3 +182,20 @@ def test_empty_and_null_inputs(spark):
     with_info = nulls.withColumn("info", F.create_map().cast("map<string,string>"))
     got = annotate(nulls, with_info, [parse_aggregate("N=max(MATCH_COUNT)"), parse_aggregate("M=max(AF)")], types={"AF": "Float"}).collect()
     assert [(r["N"], r["M"]) for r in got] == [(0, None), (0, None)]
+
+
+def test_keys_of_a_record_grow_with_the_inverse_threshold(spark):
+    """No threshold makes a record visit quadratically many tiles."""
+    df = spark.createDataFrame([(1, "chr1", "DEL", 5_000_000, 5_100_000, 100_000, None, None)], SCHEMA)
+    keys = {t: m.interval_keys(df, t).count() for t in (0.75, 0.2, 0.1, 0.05, 0.025)}
+    assert keys[0.75] <= 8 and keys[0.025] <= 2.6 * keys[0.05] <= 2.6 * 2.6 * keys[0.1] and keys[0.025] < 300
+
+
+def test_large_components_name_their_caller(spark):
+    from lociweave.operators.cluster import component_report
+
+    rows = [(i, i % 3 if i < 4 else 2, "chr1", "DEL") for i in range(8)] + [(20, 0, "chr2", "DUP"), (21, 1, "chr2", "DUP")]
+    records = spark.createDataFrame(rows, "src_index long, caller_idx int, chrom string, svtype string")
+    edges = spark.createDataFrame([(i, i + 1, 0.9) for i in range(7)] + [(20, 21, 0.9)], "src_a long, src_b long, sim double")
+    got = [tuple(r) for r in component_report(records, edges, 3).collect()]
+    assert got == [(0, 8, 7, "chr1", "DEL", 2, 5 / 8)]
