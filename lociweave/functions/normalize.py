@@ -56,10 +56,15 @@ def insertion_length(ref: Column, alt: Column, inslen: Column, svlen: Column, le
     return F.coalesce(positive(F.abs(inslen)), positive(F.abs(svlen)), positive(plain), positive(flanks), F.lit(0).cast("long"))
 
 
-def bound(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Adds columns behind a generator of one row: filters on them are not pushed below, where their expressions would be copied into each."""
-    one = df.withColumn("_bound", F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
-    return one.select(*(c for c in df.columns if c not in columns), *(F.col("_bound")[n].alias(n) for n in columns))
+def added(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds or replaces columns in one projection, all computed from the columns before it."""
+    return df.select(*(c for c in df.columns if c not in columns), *(c.alias(n) for n, c in columns.items()))
+
+
+def bound(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """Adds a column behind a generator of one row: filters on what follows from it are not pushed below, where each would copy all
+    expressions that it rests on."""
+    return df.withColumn(name, F.explode(F.array(column)))
 
 
 def normalize(df: DataFrame, chr_set: tuple[str, ...] | None = None, known_contigs: list[str] | None = None) -> DataFrame:
@@ -68,9 +73,9 @@ def normalize(df: DataFrame, chr_set: tuple[str, ...] | None = None, known_conti
     A record with more than one ALT raises an error when it is read. Skipped records stay, with ``skip_reason``.
     """
     alt = F.when(F.size("alt") > 1, F.raise_error(F.concat(F.lit("more than one ALT at "), F.col("chrom"), F.lit(":"), F.col("pos").cast("string")))).otherwise(F.get("alt", F.lit(0)))
-    df = bound(df, {"_alt": alt, "_svlen": first_int(info("SVLEN")), "_inslen": first_int(info("INSLEN"))})
+    df = added(df, {"_alt": alt, "_svlen": first_int(info("SVLEN")), "_inslen": first_int(info("INSLEN"))})
     mate, mate_pos = bnd_mate(F.col("_alt"))
-    df = bound(df, {
+    df = added(df, {
         "_type": F.coalesce(resolved_type(F.col("_alt"), info("SVTYPE")), F.lit("UNKNOWN")), "_chr2": mate, "_pos2": mate_pos,
         "_end": F.coalesce(first_int(info("END")), F.col("pos") + F.abs("_svlen")),
         "_ins": insertion_length(F.col("ref"), F.col("_alt"), F.col("_inslen"), F.col("_svlen"), info("LEFT_SVINSSEQ"), info("RIGHT_SVINSSEQ")),
@@ -83,12 +88,12 @@ def normalize(df: DataFrame, chr_set: tuple[str, ...] | None = None, known_conti
         .when((kind == "INS") & (F.col("_ins") <= 0), "unresolvable_ins_len").when(~kind.isin("BND", "INS") & F.col("_end").isNull(), "unresolvable_end")
         .when(~kind.isin("BND", "INS") & (F.col("_end") <= F.col("pos")), "end_le_pos").when(outside, "chrom_filtered")
     )
-    df = bound(df, {"skip_reason": reason})
+    df = bound(df, "skip_reason", reason)
     kept = F.col("skip_reason").isNull()
     point = kind.isin("BND", "INS")
     length = F.when(kind == "INS", F.col("_ins")).when(kind != "BND", F.coalesce(F.abs("_svlen"), F.when(F.col("_end") > F.col("pos"), F.col("_end") - F.col("pos"))))
     nameless = F.coalesce(F.col("id").isin(".", ""), F.lit(True))
-    out = bound(df, {
+    out = added(df, {
         "svtype": F.when(kept, kind),
         "end_pos": F.when(kept, F.when(point, F.col("pos") + 1).otherwise(F.col("_end"))),
         "svlen": F.when(kept, length),
