@@ -4,8 +4,9 @@ Equal vectors are one node that lists their ids. Nodes are dealt to shards of ab
 graph. Vectors get one more component that makes all lengths of a shard equal, so the largest inner product is the smallest
 distance. A graph starts random; in two passes each node's greedy search proposes neighbours, and relaxed distance pruning
 keeps a proposal only if no kept neighbour is nearer to it by the factor ``alpha`` than the node is; edges are also added
-backwards and pruned alike. A query is answered by a beam search in every shard, scored in double precision on the original vectors,
-and the shards' answers are merged.
+backwards and pruned alike, and last, nodes that pruning left with few edges towards them get some from their neighbours. Each shard then tries out how wide its beam must be to find ``RECALL`` of the true nearest of
+``TRIALS`` of its own vectors, so data without structure get wide beams and not wrong answers. A query is answered by a beam search
+in every shard, scored in double precision on the original vectors, and the shards' answers are merged.
 
 Every valid row is indexed. The index is a written table, so a lost executor re-reads it. Queries and shards meet in
 blocks of at most about ``shard_rows`` nodes and ``query_rows`` queries, whatever the sizes of the tables.
@@ -30,9 +31,12 @@ from lociweave.plans.runtime import materialize
 SHARD_ROWS = 32_768
 QUERY_ROWS = 65_536
 DEGREE = 24
+WAYS_IN = 8
 BUILD_BEAM = 48
 BEAM = 96
 ALPHAS = (1.0, 1.2)
+#: Share of the nearest that each shard's beam must find for ``TRIALS`` of its vectors.
+RECALL, TRIALS = 0.95, 64
 _BLOCK = 512
 _SPREAD = 4
 
@@ -53,7 +57,7 @@ def beam_search(vectors: np.ndarray, edges: np.ndarray, asked: np.ndarray, start
     live = np.arange(m)
     while len(live):
         rank = np.where(open_[live], near[live], -np.inf)
-        spread = min(_SPREAD, width)
+        spread = min(max(_SPREAD, width // 48), width)
         pick = np.argpartition(-rank, spread - 1, axis=1)[:, :spread]
         ready = np.take_along_axis(open_[live], pick, axis=1)
         going = ready.any(axis=1)
@@ -139,7 +143,30 @@ def build_graph(vectors: np.ndarray, degree: int = DEGREE, width: int = BUILD_BE
             pool.sort(axis=1)
             pool[:, 1:][pool[:, 1:] == pool[:, :-1]] = -1
             edges[head] = prune(vectors, head.astype(np.int32), pool, alpha, degree)
-    return edges, starts
+    return with_ways_in(edges), starts
+
+
+def with_ways_in(edges: np.ndarray, least: int = WAYS_IN) -> np.ndarray:
+    """The edges with further columns through which every node is the end of about ``least`` edges, if it has as many of its own.
+
+    Pruning leaves nodes without edges towards them, which no search reaches. Each gets edges from its own neighbours, those
+    that lend fewest so far first, so that no node's list grows long.
+    """
+    n = len(edges)
+    ways = np.bincount(edges[edges >= 0], minlength=n)
+    lent = np.zeros(n, dtype=np.int64)
+    given: list[tuple[int, int, int]] = []
+    for x in np.argsort(ways, kind="stable").tolist():
+        if ways[x] >= least:
+            break
+        mine = edges[x][edges[x] >= 0]
+        for p in mine[np.lexsort((np.arange(len(mine)), lent[mine]))][: least - ways[x]].tolist():
+            given.append((p, lent[p], x))
+            lent[p] += 1
+    more = np.full((n, int(lent.max(initial=0))), -1, dtype=np.int32)
+    for p, at, x in given:
+        more[p, at] = x
+    return np.concatenate([edges, more], axis=1)
 
 
 def level_lengths(vectors: np.ndarray) -> np.ndarray:
@@ -150,6 +177,32 @@ def level_lengths(vectors: np.ndarray) -> np.ndarray:
     return (np.concatenate([vectors, extra[:, None]], axis=1) / scale).astype(np.float32)
 
 
+def turned(asked: np.ndarray) -> np.ndarray:
+    """Queries of unit length beside levelled vectors: their inner products order like those of the originals."""
+    lengths = np.sqrt((asked**2).sum(axis=1, keepdims=True))
+    return np.concatenate([asked / lengths, np.zeros((len(asked), 1))], axis=1).astype(np.float32)
+
+
+def fitting_width(vectors: np.ndarray, levelled: np.ndarray, edges: np.ndarray, starts: np.ndarray, k: int, recall: float = RECALL, trials: int = TRIALS) -> int:
+    """The least beam width, doubling from ``BEAM``, that finds the share ``recall`` of the ``k`` nearest of some vectors of the graph.
+
+    The trial vectors are held against all others by brute force. A beam as wide as the graph is exact, so the search ends.
+    """
+    n = len(vectors)
+    some = np.random.default_rng(n).choice(n, min(n, trials), replace=False)
+    k = min(k + 1, n)  # a trial vector may find itself, as a query may find its own row
+    exact = vectors[some] @ vectors.T
+    least = np.partition(exact, n - k, axis=1)[:, n - k]
+    width = BEAM
+    while width < n:
+        beam, _ = beam_search(levelled, edges, turned(vectors[some]), starts, width)
+        found = np.where(beam >= 0, np.take_along_axis(exact, np.maximum(beam, 0), axis=1), -np.inf) >= least[:, None]
+        if np.minimum(found.sum(axis=1), k).mean() >= recall * k:
+            break
+        width *= 2
+    return min(width, n)
+
+
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     flat = column.combine_chunks().flatten() if column.num_chunks else pa.array([], pa.float64())
     return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
@@ -163,7 +216,7 @@ def valid_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def build_index(rows: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, int]:
-    """The written index (dim, shard, node, v, ids, edges, start) and its number of shards."""
+    """The written index (dim, shard, node, v, ids, edges, start, width) and its number of shards."""
     order = Window.partitionBy("v").orderBy("id")
     nodes = rows.select("id", "v", "dim").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k + 1)
     nodes = materialize(nodes.groupBy("v", "dim").agg(F.sort_array(F.collect_list("id")).alias("ids")), "nodes")
@@ -177,12 +230,14 @@ def build_index(rows: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> tuple[
         firsts = np.array([x[0] for x in table["ids"].to_pylist()])
         by = np.argsort(firsts, kind="stable")
         table, vectors = table.take(pa.array(by)), vectors[by]
-        edges, starts = build_graph(level_lengths(vectors))
+        levelled = level_lengths(vectors)
+        edges, starts = build_graph(levelled)
+        width = fitting_width(vectors, levelled, edges, starts, k)
         entry = np.zeros(len(vectors), dtype=bool)
         entry[starts] = True
-        return pa.table({"dim": table["dim"], "shard": table["shard"], "node": pa.array(np.arange(len(vectors), dtype=np.int32)), "v": table["v"], "ids": table["ids"], "edges": pa.array(list(edges), pa.list_(pa.int32())), "start": pa.array(entry)})
+        return pa.table({"dim": table["dim"], "shard": table["shard"], "node": pa.array(np.arange(len(vectors), dtype=np.int32)), "v": table["v"], "ids": table["ids"], "edges": pa.array(list(edges), pa.list_(pa.int32())), "start": pa.array(entry), "width": pa.array([width] * len(vectors), pa.int32())})
 
-    schema = "dim int, shard int, node int, v array<double>, ids array<long>, edges array<int>, start boolean"
+    schema = "dim int, shard int, node int, v array<double>, ids array<long>, edges array<int>, start boolean, width int"
     return materialize(dealt.groupBy("dim", "shard").applyInArrow(build, schema), "graph"), shards
 
 
@@ -203,11 +258,10 @@ def search(index: DataFrame, shards: int, queries: DataFrame, k: int, width: int
             edges = graph["edges"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int32).reshape(len(vectors), -1)
             starts = np.flatnonzero(graph["start"].to_numpy(zero_copy_only=False)).astype(np.int32)
             members = graph["ids"].to_pylist()
-            lengths = np.sqrt((asked**2).sum(axis=1, keepdims=True))
-            turned = np.concatenate([asked / lengths, np.zeros((len(asked), 1))], axis=1).astype(np.float32)
+            beams = max(graph["width"][0].as_py(), width)
             own, q = wanted["id"].to_pylist(), wanted["q"].to_pylist()
             for at in range(0, len(asked), _BLOCK):
-                beam, _ = beam_search(levelled, edges, turned[at : at + _BLOCK], starts, min(max(width, 2 * k), len(vectors)))
+                beam, _ = beam_search(levelled, edges, turned(asked[at : at + _BLOCK]), starts, min(max(beams, 2 * k), len(vectors)))
                 exact = np.einsum("md,mcd->mc", asked[at : at + _BLOCK], vectors[beam])
                 exact[beam < 0] = -np.inf
                 order = np.argsort(-exact, axis=1, kind="stable")

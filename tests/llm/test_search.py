@@ -40,6 +40,23 @@ def test_recall_and_scores(spark):
     assert hits / (20 * len(want)) >= 0.9
 
 
+def test_beams_widen_until_they_find_the_nearest():
+    """Vectors without any structure, of unequal lengths: the hardest case for a graph."""
+    rng = np.random.default_rng(0)
+    vectors = rng.normal(size=(3000, 48))
+    levelled = g.level_lengths(vectors)
+    edges, starts = g.build_graph(levelled)
+    width = g.fitting_width(vectors, levelled, edges, starts, 20)
+    asked = vectors[rng.choice(3000, 200, replace=False)]
+    exact = asked @ vectors.T
+    best = np.argsort(-exact, axis=1)[:, :20]
+    hits = {}
+    for w in (g.BEAM, width):
+        beam, _ = g.beam_search(levelled, edges, g.turned(asked), starts, w)
+        hits[w] = np.mean([len(set(a) & set(b)) / 20 for a, b in zip(beam.tolist(), best.tolist(), strict=True)])
+    assert g.BEAM < width < 3000 and hits[g.BEAM] < 0.9 <= hits[width]
+
+
 def test_copies_bad_vectors_and_few_rows(spark):
     rows = [(0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [0.0, 0.0], 1), (3, None, 1), (4, [float("nan"), 1.0], 1), (5, [None, 1.0], 1), (6, [float("inf"), 1.0], None), (7, [], 1), (20, [2.0, 0.0], 1), (21, [2.0, 0.0, 1.0], 1), (None, [1.0, 1.0], 1), (40, [0.0, 1.0], 2), (40, [0.0, 1.0], 2)]
     rows += [(100 + i, [1.0, 0.0], 3) for i in range(1, 60)]
