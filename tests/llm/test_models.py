@@ -97,6 +97,49 @@ def test_every_word_is_a_context_and_an_output(spark):
     assert got[taught[1]]["score"] == pytest.approx(math.log10((1 + 200 * p) / (ends + 200)), rel=1e-4)
 
 
+def test_scores_against_plain_sums(spark):
+    """Every row's score by the definition, token by token, from the trained symbol model and plain counts of words and pairs."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(420)]
+    rows = [(i, " ".join(words[min(int(rng.expovariate(0.01)), 419)] for _ in range(rng.randrange(0, 90)))) for i in range(90)] + [(90, None), (91, "UNSEEN w1 W1 unseen"), (7, "w1 w2 w3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
+    tokens = [(i, (t or "").lower().encode().split() + [lm.END]) for i, t in rows]
+    n, pairs = Counter(), Counter()
+    for i, t in tokens:
+        if not out[i]:
+            n.update(t)
+            pairs.update(zip([lm.END, *t], t, strict=False))
+    head = [lm.END] + [w for w in sorted(n, key=lambda w: (-n[w], w)) if w != lm.END][: lm.HEAD - 1]
+    symbol = lm.Symbols(head)
+    tail = Counter()
+    kinds = Counter()
+    for w, c in n.items():
+        if w not in symbol.head:
+            tail[w[-1] % lm.TAIL] += c
+            kinds[w[-1] % lm.TAIL] += 1
+    marginal = np.array([n[w] for w in head] + [tail[t] for t in range(lm.TAIL)], dtype=float)
+    taught = lm.as_bytes(docs.where(F.col("doc_id").isin([i for i in out if not out[i]])))
+    weights, _ = lm.train(lm.cell_counts(taught, head), marginal, 3)
+
+    def score(t):
+        total, s = 0.0, symbol(t)
+        for k, w in enumerate(t):
+            near, far = (s[k - 1] if k else 0), (s[k - 2] if k > 1 else 0)
+            p = 10.0 ** weights.log10(np.array([far * lm.SYMBOLS + near]))[0][s[k]]
+            if s[k] >= lm.HEAD:
+                p *= (n[w] + 1) / (tail[s[k] - lm.HEAD] + kinds[s[k] - lm.HEAD] + 1)
+            before = t[k - 1] if k else lm.END
+            total += math.log10((pairs[before, w] + lm.WORD_PRIOR * p) / (n[before] + lm.WORD_PRIOR))
+        return total
+
+    want = sorted((i, score(t)) for i, t in tokens)
+    for direct in (100_000, 250):
+        got = sorted((r["doc_id"], r["score"]) for r in lm.score(docs, direct_words=direct, steps=3).collect())
+        assert [x[0] for x in got] == [x[0] for x in want]
+        assert [x[1] for x in got] == pytest.approx([x[1] for x in want], rel=2e-5, abs=1e-5)
+
+
 def test_lm_edge_cases(spark, odd_docs, clashing, no_docs):
     for docs in (odd_docs, clashing):
         got = lm.score(docs, steps=2).collect()
