@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
+import pytest
 
 from lociweave.llm import graph_ann as g
 
@@ -57,6 +60,22 @@ def test_beams_widen_until_they_find_the_nearest():
     assert g.BEAM < width < 3000 and hits[g.BEAM] < 0.9 <= hits[width]
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01/embeddings.parquet").exists(), reason="no test tables")
+def test_recall_of_the_registered_query(spark):
+    from lociweave.llm.queries import op3_graph_ann
+
+    folder = "/root/testdata/sf0.01"
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    vectors = np.array([v for _, v in rows], dtype=np.float32).astype(np.float64)
+    want = brute(np.array([i for i, _ in rows]), vectors, 20, 20)
+    found = op3_graph_ann(spark, folder).collect()
+    assert len(found) == sum(map(len, want.values()))
+    mine = {}
+    for r in found:
+        mine.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert sum(len(mine[q] & {x for x, _ in best}) for q, best in want.items()) >= 0.95 * len(found)
+
+
 def test_copies_bad_vectors_and_few_rows(spark):
     rows = [(0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [0.0, 0.0], 1), (3, None, 1), (4, [float("nan"), 1.0], 1), (5, [None, 1.0], 1), (6, [float("inf"), 1.0], None), (7, [], 1), (20, [2.0, 0.0], 1), (21, [2.0, 0.0, 1.0], 1), (None, [1.0, 1.0], 1), (40, [0.0, 1.0], 2), (40, [0.0, 1.0], 2)]
     rows += [(100 + i, [1.0, 0.0], 3) for i in range(1, 60)]
