@@ -33,10 +33,14 @@ class BgzfWriter:
         self.out.write(block)
         self.done += len(block)
 
-    def close(self) -> None:
+    def flush(self) -> None:
+        """Ends the block that is being filled, so that blocks from elsewhere may follow."""
         if self.held:
             self._block(bytes(self.held))
             self.held.clear()
+
+    def close(self) -> None:
+        self.flush()
         self.out.write(EOF_BLOCK)
 
 

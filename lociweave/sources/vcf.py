@@ -7,6 +7,7 @@ task. Parquet folders are read and written by all tasks. Line numbers come from
 from __future__ import annotations
 
 import contextlib
+import io
 import sys
 from collections.abc import Iterator
 from itertools import batched
@@ -17,16 +18,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lociweave.functions.normalize import normalize
+from lociweave.plans.runtime import drop_staged, materialize
 from lociweave.sources import bcf, files
 from lociweave.sources.bgzf import BgzfWriter, decompress
 from lociweave.sources.csi import CsiBuilder
-from lociweave.plans.runtime import materialize
 from lociweave.sources.header import Header
 
 #: Bases per bucket of ``assign_index``; the buckets of a genome are few whatever the number of records.
 _BUCKET = 1 << 16
 #: Name of the header's file within a ``.parquet`` folder; readers of the folder pass over it.
 _HEADER = "_header.vcf"
+#: Compressed bytes that a task hands on at once.
+_PIECE = 1 << 22
 
 
 def _is_bcf(path: str) -> bool:
@@ -214,8 +217,49 @@ def _write_table(df: DataFrame, header: Header, path: str) -> int:
     return df.sparkSession.read.parquet(path).count()
 
 
+def _write_packed(lines: DataFrame, header: Header, path: str) -> int:
+    """One compressed file whose blocks all tasks encode and compress; the driver strings them together in the order of ``lines``."""
+    binary = path.endswith(".bcf")
+
+    def kernel(batches):
+        names, held = bcf.Dictionary(header), io.BytesIO()
+        out, n = BgzfWriter(held), 0
+
+        def piece():
+            return pa.RecordBatch.from_pydict({"blocks": pa.array([held.getvalue()], pa.binary()), "n": pa.array([n], pa.int64())})
+
+        for rb in batches:
+            for line in rb.column(0).to_pylist():
+                out.write(bcf.encode(line, header, names) if binary else (line + "\n").encode())
+                n += 1
+                if held.tell() > _PIECE:
+                    yield piece()
+                    held.seek(0)
+                    held.truncate()
+                    n = 0
+        out.flush()
+        if held.tell():
+            yield piece()
+
+    packed = materialize(lines.mapInArrow(kernel, "blocks binary, n long").withColumn("place", F.monotonically_increasing_id()), "packed")
+    count = 0
+    with _opened(path) as f:
+        start = BgzfWriter(f)
+        start.write(bcf.file_start(header) if binary else ("\n".join(header.lines()) + "\n").encode())
+        start.flush()
+        for row in packed.orderBy("place").toLocalIterator():
+            f.write(bytes(row["blocks"]))
+            count += row["n"]
+        start.close()
+    drop_staged(packed)
+    return count
+
+
 def write_callset(df: DataFrame, header: Header, path: str, line: str = "line", write_index: bool = False) -> int:
-    """Writes the text column ``line`` in the order of ``df``: a ``.parquet`` folder by all tasks, else one file, partition by partition."""
+    """Writes the text column ``line`` in the order of ``df``: a ``.parquet`` folder, or one file. Its blocks are compressed by all
+    tasks unless it is plain text or an index is asked for, which the driver builds while it writes."""
     if _is_table(path):
         return _write_table(df.select(F.col(line).alias("value")), header, path)
+    if path.endswith((".vcf.gz", ".bcf")) and not write_index:
+        return _write_packed(df.select(line), header, path)
     return write_lines((r[line] for r in df.select(line).toLocalIterator()), header, path, write_index)

@@ -277,6 +277,20 @@ def test_format_conflicts_are_renamed(spark, tmp_path, end):
     assert {"DP_p", "DP_q"} < set(read_header(spark, out).format)
 
 
+@pytest.mark.parametrize("end", [".vcf.gz", ".bcf"])
+def test_blocks_of_many_tasks_make_one_file(spark, tmp_path, monkeypatch, end):
+    from lociweave.sources import vcf
+
+    monkeypatch.setattr(vcf, "_PIECE", 10)  # a piece for every full block
+    header = vcf.Header.parse(fx.header(fx.SV).splitlines())
+    lines = [f"chr1\t{i + 1}\tr{i}\tN\t<DEL>\t.\tPASS\tSVTYPE=DEL;END={i + 500}" for i in range(9000)]
+    out = str(tmp_path / f"x{end}")
+    df = spark.createDataFrame(list(enumerate(lines)), "i int, line string").repartition(7).orderBy("i")
+    assert vcf.write_callset(df, header, out) == 9000
+    assert ["\t".join(r) for r in body(out)] == lines
+    assert [r["raw"] for r in read_callset(spark, out)[0].orderBy("lineno").collect()] == lines
+
+
 def test_large_components_are_told_without_being_asked(spark, tmp_path, caplog):
     rows = [fx.interval(f"r{i}", "chr1", 1000 + i // 20, 9000 + i // 20, "DEL", gt="0/1") for i in range(520)]
     for s, r in (("S1", rows), ("S2", rows[:10])):
