@@ -5,12 +5,10 @@ Each customer is a locus with about ten records of three callers; see the expres
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociweave.plans.runtime import shared_dir
+from lociweave.plans.runtime import staged_path
 from lociweave.sources.header import Field, Header
 from lociweave.sources.vcf import record_line, write_callset
 
@@ -107,13 +105,9 @@ def _header(**more) -> Header:
     return Header(info=info, filters={"PASS": "All filters passed", "LowQual": "Low quality"}, contigs={f"chr{i}": None for i in (1, 2, 3)}, **more)
 
 
-def _fresh_path(spark: SparkSession, end: str) -> str:
-    return f"{shared_dir(spark)}/callset-{uuid.uuid4().hex}{end}"
-
-
 def raw_file(spark: SparkSession, sf_dir: str, end: str) -> str:
     """The path of a new file of ``raw_records`` by contig, position and index, in the format of its ending."""
-    path = _fresh_path(spark, end)
+    path = staged_path(spark, "callset", end)
     lines = raw_records(spark, sf_dir).orderBy("chrom", "pos", "src_index").select(record_line().alias("line"))
     write_callset(lines, _header(), path)
     return path
@@ -121,7 +115,7 @@ def raw_file(spark: SparkSession, sf_dir: str, end: str) -> str:
 
 def sample_file(spark: SparkSession, sf_dir: str, caller: int, depth_type: str) -> str:
     """The path of a new file of one caller's records of ``callset`` as sample S<caller>, with a FORMAT field DP of the given type."""
-    path = _fresh_path(spark, ".vcf")
+    path = staged_path(spark, "callset", ".vcf")
     df = callset(spark, sf_dir).where(F.col("caller_idx") == caller)
     mate = F.concat(F.lit("N["), F.col("chr2"), F.lit(":"), F.col("pos2").cast("string"), F.lit("["))
     own = {"SVTYPE": F.col("svtype"), "END": F.when(F.col("svtype").isin("DEL", "DUP", "INV"), F.col("end_pos").cast("string")), "SVLEN": F.when(F.col("svtype") != "BND", F.col("svlen").cast("string"))}
@@ -137,4 +131,4 @@ def sample_file(spark: SparkSession, sf_dir: str, caller: int, depth_type: str)
 
 
 def fresh_table(spark: SparkSession) -> str:
-    return _fresh_path(spark, ".parquet")
+    return staged_path(spark, "callset", ".parquet")

@@ -29,10 +29,16 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
 
 
+def staged_path(spark: SparkSession, name: str, end: str = "") -> str:
+    """A new path in the shared folder, which ``drop_all_staged`` will delete."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}{end}"
+    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` once and return it as read back: lineage is cut, types stay, any later loss rereads the files."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    _staged.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+    path = staged_path(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_path = path
@@ -47,7 +53,7 @@ def drop_staged(df: DataFrame) -> None:
 
 
 def drop_all_staged(spark: SparkSession) -> int:
-    """Delete every table that this application staged; for the end of a job, when no result of it is read any more. Returns their number."""
+    """Delete all that this application staged; for the end of a job, when no result of it is read any more. Returns their number."""
     paths = _staged.pop(spark.sparkContext.applicationId, [])
     for path in paths:
         _delete(spark, path)

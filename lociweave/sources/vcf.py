@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lociweave.functions.normalize import normalize
-from lociweave.plans.runtime import drop_staged, materialize
+from lociweave.plans.runtime import broadcast_bounded, drop_staged, materialize
 from lociweave.sources import bcf, files
 from lociweave.sources.bgzf import BgzfWriter, decompress
 from lociweave.sources.csi import CsiBuilder
@@ -106,8 +106,8 @@ def _numbered(lines: DataFrame) -> DataFrame:
     """Records with their 1-based number in the file: the records of the parts before, and the place within the part."""
     parts = lines.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = parts.select("part", (before - F.col("first") + 1).alias("shift"))  # one row per split
-    return lines.join(F.broadcast(starts), "part").select("value", (F.col("id") + F.col("shift")).cast("long").alias("lineno"))
+    starts = materialize(parts.select("part", (before - F.col("first") + 1).alias("shift")), "splits")  # one row per split
+    return lines.join(broadcast_bounded(starts), "part").select("value", (F.col("id") + F.col("shift")).cast("long").alias("lineno"))
 
 
 def parse_info(text: Column) -> Column:
