@@ -44,7 +44,9 @@ RADIUS = 63
 ITEM_ROWS, ITEM_BYTES = 20_000, 16 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = mix(np.arange(1, BITS // 64 + 1, dtype=np.uint64))
-_TABLE_ENTRIES = 4_000_000
+#: Numbers that the tables of one item length hold before they begin anew; an entry counts as ``_ENTRY`` more for its keeping.
+_TABLE_NUMBERS, _ENTRY = 200_000, 26
+_NONE = np.empty(0, dtype=np.int64)
 #: Words of a text that are worked on at once, so that a very long text takes no more memory than others.
 _STRETCH = 4096
 
@@ -92,7 +94,8 @@ class Hamming:
     """All stored fingerprints within a radius.
 
     A fingerprint is ``BLOCKS`` blocks of 16 bits. Two within the radius differ by at most ``radius // BLOCKS`` bits in some block, so
-    each block has a table from a value to the stored fingerprints that near; entries are filled when a value is first met.
+    each block has a table from a value to the stored fingerprints that near; entries are filled when a value is first met, and the
+    tables begin anew before they grow large.
     """
 
     def __init__(self, prints: np.ndarray, radius: int = RADIUS) -> None:
@@ -108,14 +111,15 @@ class Hamming:
             found = table.get(v)
             if found is None:
                 found = np.flatnonzero(np.bitwise_count(values ^ np.uint16(v)) <= self.near)
-                self.held += len(found) + 8
-                if self.held > _TABLE_ENTRIES:
-                    self.tables = [{} for _ in range(BLOCKS)]
-                    self.held = 0
-                table[v] = found
+                table[v] = found if len(found) else _NONE
+                self.held += len(found) + _ENTRY
             if len(found):
                 lists.append(found)
-        return np.unique(np.concatenate(lists)) if lists else np.empty(0, dtype=np.int64)
+        if self.held > _TABLE_NUMBERS:
+            for table in self.tables:
+                table.clear()
+            self.held = 0
+        return np.unique(np.concatenate(lists)) if lists else _NONE
 
     def within(self, fingerprint: np.ndarray) -> np.ndarray:
         met = self.candidates(fingerprint)
