@@ -16,7 +16,8 @@ _CHUNK_NODES = 2 * _TASK_EDGES
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("hi", "lo"), F.lit(1 << 40))).alias("h")).first()
+    """Number and hash of distinct edges; the hash is an exclusive or, which no number of edges makes overflow."""
+    row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("hi", "lo")).alias("h")).first()
     return row["n"], row["h"]
 
 

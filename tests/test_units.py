@@ -13,7 +13,7 @@ from lociweave.functions.similarity import bin_range, jaccard, passes, quantized
 from lociweave.operators import match as m
 from lociweave.operators.annotate import annotate
 from lociweave.operators.cluster import agglomerate, cluster, unique_edges
-from lociweave.operators.components import connected_components
+from lociweave.operators.components import _fingerprint, connected_components
 from lociweave.options import ClusterOptions, MatchOptions, name_list, parse_priority
 from lociweave.sources.header import Field, Header, unify
 
@@ -199,3 +199,9 @@ def test_large_components_name_their_caller(spark):
     edges = spark.createDataFrame([(i, i + 1, 0.9) for i in range(7)] + [(20, 21, 0.9)], "src_a long, src_b long, sim double")
     got = [tuple(r) for r in component_report(records, edges, 3).collect()]
     assert got == [(0, 8, 7, "chr1", "DEL", 2, 5 / 8)]
+
+
+def test_fingerprint_of_very_many_edges(spark):
+    edges = spark.range(1 << 25).select((F.col("id") + 1).alias("hi"), F.col("id").alias("lo"))
+    n, h = _fingerprint(edges)
+    assert n == 1 << 25 and (n, h) == _fingerprint(edges.repartition(3)) and h != _fingerprint(edges.where("lo > 0"))[1]
