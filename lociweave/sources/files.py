@@ -39,7 +39,7 @@ def chunks(spark: SparkSession, path: str) -> Iterator[bytes]:
 
 
 def unpacked(pieces: Iterator[bytes]) -> Iterator[bytes]:
-    """Pieces of a gzip file of any number of members, decompressed; others as they are."""
+    """Pieces of a gzip file of any number of members, decompressed; others as they are. Raises if the last member is cut off."""
     member = None
     for i, data in enumerate(pieces):
         if i == 0 and data[:2] != b"\x1f\x8b":
@@ -49,7 +49,9 @@ def unpacked(pieces: Iterator[bytes]) -> Iterator[bytes]:
         while data:
             member = member or zlib.decompressobj(31)
             yield member.decompress(data)
-            data, member = (member.unused_data, None) if member.eof else (b"", member)
+            data, member = (member.unused_data.lstrip(b"\0"), None) if member.eof else (b"", member)
+    if member:
+        raise EOFError("the file ends within a compressed block")
 
 
 def put(spark: SparkSession, path: str, data: bytes) -> None:

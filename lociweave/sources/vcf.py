@@ -1,7 +1,7 @@
 """Reading callsets (VCF text, plain or compressed, BCF, and Parquet folders) into the canonical columns, and writing them.
 
-Text is read by Spark's text source: an uncompressed file splits, a compressed one is a task. BCF files are decoded one file a
-task. Parquet folders are read and written by all tasks. Line numbers come from counts per split and places within it, without a sort.
+Text is read by Spark's text source: an uncompressed file splits, a compressed one is a task. BCF files are decompressed one file a
+task and decoded by all. Parquet folders are read and written by all tasks. Line numbers come from counts per split and places within it, without a sort.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 from lociweave.functions.normalize import normalize
 from lociweave.plans.runtime import broadcast_bounded, drop_staged, materialize
 from lociweave.sources import bcf, files
-from lociweave.sources.bgzf import BgzfWriter, decompress
+from lociweave.sources.bgzf import BgzfWriter
 from lociweave.sources.csi import CsiBuilder
 from lociweave.sources.header import Header
 
@@ -28,8 +28,10 @@ from lociweave.sources.header import Header
 _BUCKET = 1 << 16
 #: Name of the header's file within a ``.parquet`` folder; readers of the folder pass over it.
 _HEADER = "_header.vcf"
-#: Compressed bytes that a task hands on at once.
+#: Bytes of blocks, or of decompressed records, that a task hands on at once.
 _PIECE = 1 << 22
+#: Compressed bytes taken up at once.
+_STEP = 1 << 18
 
 
 def _is_bcf(path: str) -> bool:
@@ -47,17 +49,31 @@ def require_index(spark: SparkSession, path: str) -> None:
 
 
 def _bcf_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, part and id of each record. A file is decompressed piece by piece in one task; its pieces are decoded by all tasks."""
     found = spark.read.format("binaryFile").load(path).select("path", "content")
+    schema = pa.schema([("file", pa.string()), ("start", pa.int64()), ("head", pa.binary()), ("records", pa.binary())])
 
-    def kernel(batches):
+    def split(batches):
         for rb in batches:
             for name, content in zip(rb.column("path").to_pylist(), rb.column("content"), strict=True):
-                data = decompress(content.as_py())
-                _, names, contigs, at = bcf.read_header(data)
-                for lines in batched(bcf.decode(data, at, names, contigs), 4096):
-                    yield pa.RecordBatch.from_pydict({"value": pa.array(lines), "file": pa.array([name] * len(lines))})
+                raw = content.as_buffer()
+                runs = bcf.pieces(files.unpacked(raw[i : i + _STEP].to_pybytes() for i in range(0, len(raw), _STEP)), _PIECE)
+                head = next(runs)
+                for i, records in enumerate(runs):
+                    yield pa.RecordBatch.from_pylist([{"file": name, "start": i, "head": head, "records": records}], schema)
+
+    def kernel(batches):
+        for rb in batches:
+            for run in rb.to_pylist():
+                _, names, contigs, _ = bcf.read_header(run["head"])
+                part = {"file": run["file"], "start": run["start"]}
+                n = 0
+                for lines in batched(bcf.decode(run["records"], 0, names, contigs), 4096):
+                    yield pa.RecordBatch.from_pydict({"value": pa.array(lines), "part": pa.array([part] * len(lines)), "id": pa.array(range(n, n + len(lines)), pa.int64())})
+                    n += len(lines)
 
-    return found.mapInArrow(kernel, "value string, file string").select("value", F.struct("file", F.lit(0).cast("long").alias("start")).alias("part"))
+    runs = found.mapInArrow(split, "file string, start long, head binary, records binary").repartition("file", "start")
+    return runs.mapInArrow(kernel, "value string, part struct<file:string,start:long>, id long")
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -65,9 +81,8 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     if _is_table(path):
         return spark.read.parquet(path).select("value", F.struct(F.lit(path).alias("file"), F.shiftright("place", 33).alias("start")).alias("part"), F.col("place").alias("id"))
     if _is_bcf(path):
-        rows = _bcf_lines(spark, path)
-    else:
-        rows = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")).alias("part"))
+        return _bcf_lines(spark, path)
+    rows = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")).alias("part"))
     return rows.where(~F.col("value").startswith("#") & (F.col("value") != "")).withColumn("id", F.monotonically_increasing_id())
 
 

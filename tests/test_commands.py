@@ -240,6 +240,23 @@ def test_bcf_round_trip(spark, files, tmp_path):
     assert Path(a).read_text() == Path(b).read_text()
 
 
+def test_bcf_beyond_32_bits(spark, tmp_path):
+    from lociweave.sources import vcf
+
+    header = vcf.Header.parse(fx.header(fx.SV).splitlines())
+    starts = [1, 2**31 - 1, 2**31, 2**31 + 1, 9_000_000_000]
+    lines = [f"chr1\t{p}\tr{p}\tN\t<DEL>\t.\tPASS\tSVTYPE=DEL;END={p + 500};SVLEN={-n}" for n, p in enumerate(starts + [2**40])]
+    lines.append(f"chr1\t{2**40}\tw\tN\t<DEL>\t.\tPASS\tSVTYPE=DEL;END={2**40 + 2**33};SVLEN={-(2**33)}")
+    df = spark.createDataFrame(list(enumerate(lines)), "i int, line string").orderBy("i")
+    vcf.write_callset(df, header, out := str(tmp_path / "wide.bcf"))
+    again = read_callset(spark, out)[0].orderBy("lineno").collect()
+    assert [r["raw"] for r in again] == lines and [r["lineno"] for r in again] == list(range(1, 8)) and again[4]["pos"] == 9_000_000_000
+    raw = Path(out).read_bytes()
+    (tmp_path / "cut.bcf").write_bytes(raw[: len(raw) - 40])
+    with pytest.raises(Exception, match="ends within a compressed block"):
+        read_callset(spark, str(tmp_path / "cut.bcf"))[0].collect()
+
+
 def test_index_needed(spark, files, tmp_path):
     with pytest.raises(FileNotFoundError):
         read_callset(spark, files["A"], index_needed=True)
