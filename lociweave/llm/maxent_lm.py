@@ -260,15 +260,24 @@ def train(cells: DataFrame, marginal: np.ndarray, steps: int | None = None) -> t
 
 
 _TEXTS = "row_id long, doc_id long, held_out boolean, n_tokens long, base double, known long, model double, rare array<struct<word:binary,times:long>>"
+_CARRIED = "chunk long, row_id long, doc_id long, held_out boolean, n_tokens long, base double, known long, model double, rare binary, times binary"
 _PACKED = ("counts", np.int32), ("taught", np.bool_), ("pairs", np.uint16), ("prior", np.uint8), ("words", np.uint64)
 _ROWS = [
     ("chunk", pa.int64()), ("row_id", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("base", pa.float64()), ("known", pa.int64()), ("model", pa.float64()),
-    ("rare", pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))),
+    ("rare", pa.binary()), ("times", pa.binary()),
 ]
 _SCORED = pa.schema([("key", pa.int32()), *_ROWS, *((k, pa.binary()) for k, _ in _PACKED)])
 _GAINED = pa.schema([*_ROWS, ("at", pa.binary()), ("gain", pa.binary())])
 
 
+def _rare_words(rare: list[bytes], times: list[bytes]) -> pa.ListArray:
+    """The rarer words of each text, which travel in one string parted by spaces, with their frequencies, which travel in 32 bits each."""
+    words = [x.split(b" ") if x else [] for x in rare]
+    ends = pa.array(np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int32))
+    often = pa.array(np.frombuffer(b"".join(times), np.uint32).astype(np.int64))
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array([x for w in words for x in w], pa.binary()), often], ["word", "times"]))
+
+
 def _filled(rb: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
     """The batch with the columns of ``schema``, null where it has none."""
     return pa.RecordBatch.from_arrays([rb.column(f.name) if f.name in rb.schema.names else pa.nulls(rb.num_rows, f.type) for f in schema], schema=schema)
@@ -367,15 +376,11 @@ def _score_batches(docs: DataFrame, weights: Weights, head: list[bytes], direct:
             each = table[number[ctx], s]
             begin = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
             cols = list(zip(*rows, strict=True))
-            words = [list(t) for t in cols[6]]
-            flat = [w for t in words for w in t]
-            times = [n for t in cols[6] for n in t.values()]
-            ends = pa.array(np.concatenate([[0], np.cumsum([len(t) for t in words])]).astype(np.int32))
-            rare = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(flat, pa.binary()), pa.array(times, pa.int64())], ["word", "times"]))
+            rare, times = [b" ".join(t) for t in cols[6]], [np.array(list(t.values()), dtype=np.uint32).tobytes() for t in cols[6]]
             done = pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(rows), (cols[0][0] >> 33) % buckets), pa.int32()), pa.array(np.full(len(rows), cols[0][0]), pa.int64()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.bool_()), pa.array(lengths, pa.int64()), pa.array(cols[3], pa.float64()),
-                 pa.array(cols[4], pa.int64()), pa.array(cols[5] + np.add.reduceat(each, begin), pa.float64()), rare],
-                ["key", "chunk", "row_id", "doc_id", "held_out", "n_tokens", "base", "known", "model", "rare"],
+                 pa.array(cols[4], pa.int64()), pa.array(cols[5] + np.add.reduceat(each, begin), pa.float64()), pa.array(rare, pa.binary()), pa.array(times, pa.binary())],
+                ["key", "chunk", "row_id", "doc_id", "held_out", "n_tokens", "base", "known", "model", "rare", "times"],
             )
             own = np.array(own)
             lacks = np.isnan(own)
@@ -443,11 +448,12 @@ def _score_batches(docs: DataFrame, weights: Weights, head: list[bytes], direct:
             done = texts.pop()
             chunk, row = done.column("chunk").to_numpy(), done.column("row_id").to_numpy()
             model = done.column("model").to_numpy() + np.array([sums[c][r - c] for c, r in zip(chunk.tolist(), row.tolist(), strict=True)])
-            yield done.set_column(done.schema.get_field_index("model"), "model", pa.array(model)).select([f.name for f in pa.schema(_ROWS)][1:])
+            done = done.set_column(done.schema.get_field_index("model"), "model", pa.array(model))
+            done = done.set_column(done.schema.get_field_index("rare"), "rare", _rare_words(done.column("rare").to_pylist(), done.column("times").to_pylist()))
+            yield done.select([k for k, _ in _ROWS[1:-1]])
 
-    rows = f"chunk long, {_TEXTS}"
-    packed = map_batches(docs, kernel, f"key int, {rows}, {', '.join(f'{k} binary' for k, _ in _PACKED)}")
-    gained = map_batches(packed.repartition(buckets, "key"), count_pairs, f"{rows}, at binary, gain binary")
+    packed = map_batches(docs, kernel, f"key int, {_CARRIED}, {', '.join(f'{k} binary' for k, _ in _PACKED)}")
+    gained = map_batches(packed.repartition(buckets, "key"), count_pairs, f"{_CARRIED}, at binary, gain binary")
     return map_batches(gained.repartition(buckets, "chunk"), add_gains, _TEXTS)
 
 

@@ -140,6 +140,12 @@ def test_scores_against_plain_sums(spark):
         assert [x[1] for x in got] == pytest.approx([x[1] for x in want], rel=2e-5, abs=1e-5)
 
 
+def test_rare_words_travel_whole():
+    texts = [{b"a": 1, b"\xff,;": 70_000}, {}, {lm.END: 1}, {"\u00a0".encode(): 2}]
+    got = lm._rare_words([b" ".join(t) for t in texts], [np.array(list(t.values()), dtype=np.uint32).tobytes() for t in texts])
+    assert [{r["word"]: r["times"] for r in t} for t in got.to_pylist()] == texts
+
+
 def test_lm_edge_cases(spark, odd_docs, clashing, no_docs):
     for docs in (odd_docs, clashing):
         got = lm.score(docs, steps=2).collect()
