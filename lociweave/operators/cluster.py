@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociweave.operators.components import connected_components
-from lociweave.plans.runtime import materialize
+from lociweave.plans.runtime import exchanged, materialize
 
 LARGE = 500
 
@@ -72,7 +72,7 @@ def cluster(records: DataFrame, edges: DataFrame, linkage: str = "average", thre
     else:
         left = linked.select(F.col("node").alias("src_a"), "component")
         right = linked.select(F.col("node").alias("src_b"), F.col("component").alias("_other"))
-        inside = edges.join(left, "src_a").join(right, "src_b").where(F.col("component") == F.col("_other")).select("component", "src_a", "src_b", "sim")
+        inside = edges.join(exchanged(left), "src_a").join(exchanged(right), "src_b").where(F.col("component") == F.col("_other")).select("component", "src_a", "src_b", "sim")
 
         def kernel(table: pa.Table) -> pa.Table:
             a, b, s = (table[c].to_pylist() for c in ("src_a", "src_b", "sim"))
@@ -82,7 +82,7 @@ def cluster(records: DataFrame, edges: DataFrame, linkage: str = "average", thre
             return pa.table({"src_index": pa.array([r[0] for r in rows], pa.int64()), "cluster_id": pa.array([r[1] for r in rows], pa.int64())})
 
         found = inside.groupBy("component").applyInArrow(kernel, "src_index long, cluster_id long")
-    return records.select("src_index").join(found, "src_index", "left").select("src_index", F.coalesce("cluster_id", "src_index").alias("cluster_id"))
+    return records.select("src_index").join(exchanged(found), "src_index", "left").select("src_index", F.coalesce("cluster_id", "src_index").alias("cluster_id"))
 
 
 def large_components(edges: DataFrame, least: int = LARGE) -> DataFrame:
@@ -93,8 +93,8 @@ def large_components(edges: DataFrame, least: int = LARGE) -> DataFrame:
 def component_report(records: DataFrame, edges: DataFrame, least: int = LARGE) -> DataFrame:
     """component, n, n_edges, chrom, svtype, caller_idx (the one with most records) and share (of its records) of each large component."""
     linked = connected_components(edges, "src_a", "src_b")
-    inside = edges.select(F.col("src_a").alias("node")).join(linked, "node").groupBy("component").agg(F.count(F.lit(1)).alias("n_edges"))
-    per_caller = records.select(F.col("src_index").alias("node"), "chrom", "svtype", "caller_idx").join(linked, "node")
+    inside = edges.select(F.col("src_a").alias("node")).join(exchanged(linked), "node").groupBy("component").agg(F.count(F.lit(1)).alias("n_edges"))
+    per_caller = records.select(F.col("src_index").alias("node"), "chrom", "svtype", "caller_idx").join(exchanged(linked), "node")
     per_caller = per_caller.groupBy("component", "caller_idx").agg(F.count(F.lit(1)).alias("k"), F.min("chrom").alias("chrom"), F.min("svtype").alias("svtype"))
     top = F.max_by("caller_idx", F.struct(F.col("k"), -F.col("caller_idx")))
     found = per_caller.groupBy("component").agg(F.sum("k").alias("n"), F.min("chrom").alias("chrom"), F.min("svtype").alias("svtype"), top.alias("caller_idx"), (F.max("k") / F.sum("k")).alias("share"))
@@ -105,11 +105,11 @@ def centrality(clusters: DataFrame, edges: DataFrame) -> DataFrame:
     """src_index, centre: mean similarity to the other members, absent pairs counting 0; only members with an inner edge have a row."""
     left = clusters.select(F.col("src_index").alias("src_a"), "cluster_id")
     right = clusters.select(F.col("src_index").alias("src_b"), F.col("cluster_id").alias("_other"))
-    inside = edges.join(left, "src_a").join(right, "src_b").where(F.col("cluster_id") == F.col("_other"))
+    inside = edges.join(exchanged(left), "src_a").join(exchanged(right), "src_b").where(F.col("cluster_id") == F.col("_other"))
     both = inside.select(F.explode(F.array(F.col("src_a"), F.col("src_b"))).alias("src_index"), "cluster_id", "sim")
     sums = both.groupBy("src_index", "cluster_id").agg(F.sum("sim").alias("s"))
     sizes = clusters.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
-    return sums.join(sizes, "cluster_id").select("src_index", (F.col("s") / (F.col("n") - 1)).alias("centre"))
+    return sums.join(exchanged(sizes), "cluster_id").select("src_index", (F.col("s") / (F.col("n") - 1)).alias("centre"))
 
 
 def cascade(priority: tuple[str, ...]) -> list:
@@ -120,9 +120,9 @@ def cascade(priority: tuple[str, ...]) -> list:
 
 def representatives(records: DataFrame, clusters: DataFrame, edges: DataFrame, priority: tuple[str, ...]) -> DataFrame:
     """cluster_id and rep (src_index), the first member by the cascade; a partial aggregate, whatever the cluster's size."""
-    members = records.select("src_index", "is_pass", "qual_q", "caller_idx").join(clusters, "src_index")
+    members = records.select("src_index", "is_pass", "qual_q", "caller_idx").join(exchanged(clusters), "src_index")
     if "CENTRE" in priority:
-        members = members.join(centrality(clusters, edges), "src_index", "left")
+        members = members.join(exchanged(centrality(clusters, edges)), "src_index", "left")
     keys = F.struct(*(k.alias(f"k{i}") for i, k in enumerate(cascade(priority))))
     return members.groupBy("cluster_id").agg(F.min_by("src_index", keys).alias("rep"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lociweave.operators.cluster import representatives, staged_clusters
 from lociweave.operators.match import active, match_self
 from lociweave.options import ClusterOptions
+from lociweave.plans.runtime import exchanged
 
 
 def provenance(members: DataFrame, names: list[str]) -> DataFrame:
@@ -28,6 +29,6 @@ def collapse(records: DataFrame, names: list[str], options: ClusterOptions = Clu
     kept = active(records, options.match)
     clusters, edges = staged_clusters(kept, match_self(kept, options.match), options.linkage, options.match.threshold, watch)
     reps = representatives(kept, clusters, edges, options.priority)
-    members = clusters.join(reps, "cluster_id").join(kept.select("src_index", "caller_idx"), "src_index")
-    found = provenance(members, names).join(reps, "cluster_id").withColumnRenamed("rep", "src_index")
-    return kept.drop("cluster_id", "callers", "n_callers", "n_merged").join(found, "src_index")
+    members = clusters.join(exchanged(reps), "cluster_id").join(exchanged(kept.select("src_index", "caller_idx")), "src_index")
+    found = provenance(members, names).join(exchanged(reps), "cluster_id").withColumnRenamed("rep", "src_index")
+    return kept.drop("cluster_id", "callers", "n_callers", "n_merged").join(exchanged(found), "src_index")

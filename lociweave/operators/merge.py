@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lociweave.operators.cluster import representatives, staged_clusters
 from lociweave.operators.match import active, match_self
 from lociweave.options import ClusterOptions
+from lociweave.plans.runtime import exchanged, materialize
 
 
 def alleles(gt: Column) -> Column:
@@ -71,13 +72,13 @@ def merge(records: DataFrame, samples: list[str], options: ClusterOptions = Clus
     """
     kept = active(records, options.match)
     clusters, edges = staged_clusters(kept, match_self(kept, options.match), options.linkage, options.match.threshold, watch)
-    reps = representatives(kept, clusters, edges, options.priority)
+    reps = materialize(representatives(kept, clusters, edges, options.priority), "reps")
     named = ["callers"] if "callers" in kept.columns else []
-    members = clusters.join(reps, "cluster_id").join(kept.select("src_index", "caller_idx", "is_pass", "qual_q", "sample", "gt", *named), "src_index")
-    picks = sample_picks(members, options.priority)
+    members = clusters.join(exchanged(reps), "cluster_id").join(exchanged(kept.select("src_index", "caller_idx", "is_pass", "qual_q", "sample", "gt", *named)), "src_index")
+    picks = materialize(sample_picks(members, options.priority), "picks")
     counts = allele_counts(picks, len(samples), missing_to_ref)
     lost = picks.groupBy("cluster_id").agg((F.sum("n") - F.count(F.lit(1))).alias("collisions"))
-    found = reps.join(counts, "cluster_id").join(genotype_map(picks), "cluster_id").join(lost, "cluster_id").withColumnRenamed("rep", "src_index")
+    found = reps.join(exchanged(counts), "cluster_id").join(exchanged(genotype_map(picks)), "cluster_id").join(exchanged(lost), "cluster_id").withColumnRenamed("rep", "src_index")
     if named:
-        found = found.join(callers_union(members), "cluster_id", "left")
-    return kept.drop("cluster_id", "genotypes", "ac", "an", "af", "collisions", "callers", "n_callers").join(found, "src_index")
+        found = found.join(exchanged(callers_union(members)), "cluster_id", "left")
+    return kept.drop("cluster_id", "genotypes", "ac", "an", "af", "collisions", "callers", "n_callers").join(exchanged(found), "src_index")

@@ -65,6 +65,14 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def exchanged(df: DataFrame) -> DataFrame:
+    """Hint that a join with ``df`` exchanges both sides; for tables that grow with the records.
+
+    Spark would broadcast a staged table by the bytes of its files, and numbers that compress well take many times that in the driver.
+    """
+    return df.hint("shuffle_merge")
+
+
 def broadcast_bounded(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only if the counted size is within ``limit``; beyond it the plain shuffled join stands."""
     n = df.count() if rows is None else rows

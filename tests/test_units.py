@@ -13,7 +13,9 @@ from lociweave.functions.similarity import bin_range, jaccard, passes, quantized
 from lociweave.operators import match as m
 from lociweave.operators.annotate import annotate
 from lociweave.operators.cluster import agglomerate, cluster, unique_edges
+from lociweave.operators.collapse import collapse
 from lociweave.operators.components import _fingerprint, connected_components
+from lociweave.operators.merge import merge
 from lociweave.options import ClusterOptions, MatchOptions, name_list, parse_priority
 from lociweave.sources.header import Field, Header, unify
 
@@ -205,3 +207,20 @@ def test_fingerprint_of_very_many_edges(spark):
     edges = spark.range(1 << 25).select((F.col("id") + 1).alias("hi"), F.col("id").alias("lo"))
     n, h = _fingerprint(edges)
     assert n == 1 << 25 and (n, h) == _fingerprint(edges.repartition(3)) and h != _fingerprint(edges.where("lo > 0"))[1]
+
+
+def _calls(spark, n):
+    """Single-base calls of two samples at 50 loci."""
+    return spark.range(n).selectExpr(
+        "id AS src_index", "CAST(id % 2 AS INT) AS caller_idx", "'chr1' AS chrom", "'INS' AS svtype", "10000 * (id % 50) AS pos", "10000 * (id % 50) + 1 AS end_pos", "CAST(100 AS BIGINT) AS svlen",
+        "'chr1' AS chr2", "CAST(0 AS BIGINT) AS pos2", "true AS is_pass", "CAST(id AS INT) AS qual_q", "'S' || id % 2 AS sample", "'0/1' AS gt", "'c' AS callers",
+    )
+
+
+@pytest.mark.parametrize("linkage", ["single", "average"])
+def test_tables_that_grow_with_the_records_are_not_broadcast(spark, linkage):
+    options = ClusterOptions(linkage=linkage, priority=("PASS", "CENTRE", "QUAL"))
+    merged, collapsed = merge(_calls(spark, 100), ["S0", "S1"], options), collapse(_calls(spark, 100), ["a", "b"], options)
+    for found in (merged, collapsed):
+        assert found.count() == 50
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
